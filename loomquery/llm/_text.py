@@ -131,3 +131,18 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind in "iuf" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+_STEP = np.uint64(0xA24BAED4963EE407)
+
+
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of length word hashes."""
+    n = len(h) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = h[:n].copy()
+    for k in range(1, length):
+        total *= _STEP
+        total += h[k : n + k]
+    return mix(total + np.uint64(length))

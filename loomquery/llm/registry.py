@@ -47,6 +47,26 @@ def op1_warc(spark, sf_dir):
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM docs),
+classes AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+grams AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes),
+pairs AS (SELECT x.rep AS a, y.rep AS b FROM grams x JOIN grams y ON x.g = y.g AND x.rep < y.rep
+          GROUP BY x.rep, y.rep HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.seen = edges.a),
+comp AS (SELECT node AS rep, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(comp.component_id, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN comp ON comp.rep = c.rep""")
+def op2_near_duplicates(spark, sf_dir):
+    from loomquery.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 @query(f"""
 WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
