@@ -96,6 +96,20 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.score(docs, model, "doc_id", "held_out")
 
 
+@query()
+def op7_fingerprints(spark, sf_dir):
+    from loomquery.llm import merkle
+
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_secret_scan(spark, sf_dir):
+    from loomquery.llm import secrets
+
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     import public_tokenizers
