@@ -19,23 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from loomquery.llm._store import arrow_map
-from loomquery.llm._text import ALNUM, buffers, chunks, mix, split_words, sums
+from loomquery.llm._text import ALNUM, buffers, chunks, split_words, sums, window_hashes
 
 WINDOW = 8
 ITEM_BYTES = 32 << 20
-_STEP = np.uint64(0xA24BAED4963EE407)
-
-
-def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of length word hashes."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = h[:n].copy()
-    for k in range(1, length):
-        total *= _STEP
-        total += h[k : n + k]
-    return mix(total + np.uint64(length))
 
 
 class Windows:
