@@ -87,6 +87,17 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query()
+def op5_suffix_lm(spark, sf_dir):
+    from loomquery.llm import suffix_lm
+    from loomquery.llm._store import Store
+
+    store = Store(spark, "suffix_lm")
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(10))
+    tree, counts = suffix_lm.train(docs.filter(~F.col("held_out")), store)
+    return suffix_lm.score(docs, tree, counts, store, "doc_id", "held_out")
+
+
 @query()
 def op6_quality_classifier(spark, sf_dir):
     from loomquery.llm import quality
