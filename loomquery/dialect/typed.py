@@ -33,19 +33,15 @@ def _kind(e) -> str:
     return e.dataType().catalogString() if e.resolved() else ""
 
 
-class _Found(Exception):
-    def __init__(self, change):
-        self.change = change
-
-
-def _walk_expression(e, text: str) -> None:
+def _walk_expression(e, text: str, found: set) -> None:
+    """Add the changes (begin, end, new text) that an expression asks for."""
     name = e.getClass().getSimpleName()
     if name in ("ScalarSubquery", "Exists", "ListQuery"):
-        _walk(e.plan(), text)
+        _walk(e.plan(), text, found)
     elif name == "InSubquery":
-        _walk(e.query().plan(), text)
+        _walk(e.query().plan(), text, found)
     for c in _seq(e.children()):
-        _walk_expression(c, text)
+        _walk_expression(c, text, found)
     at = _origin(e)
     if at is None:
         return
@@ -55,7 +51,7 @@ def _walk_expression(e, text: str) -> None:
         inner = [x.child() if x.getClass().getSimpleName() == "Cast" and _kind(x) == "double" else x for x in (left, right)]
         if all(_kind(x) in _INTEGERS for x in inner):
             slash = _last(text, at[0], at[1] + 1)  # division goes from left to right
-            raise _Found((slash, slash + 1, " div "))
+            found.add((slash, slash + 1, " div "))
     elif name in ("Sum", "Average"):
         child = e.child()
         m = re.match(r"\s*(sum|avg)\s*\(\s*(distinct\s)?", piece, re.I)
@@ -63,7 +59,7 @@ def _walk_expression(e, text: str) -> None:
             close = _closing(text, at[0] + piece.index("("))
             begin = at[0] + m.end()
             kind = "DECIMAL(38,0)" if name == "Sum" else "DECIMAL(28,6)"
-            raise _Found((begin, close, f"CAST({text[begin:close]} AS {kind})"))
+            found.add((begin, close, f"CAST({text[begin:close]} AS {kind})"))
 
 
 def _depths(text: str, begin: int, end: int):
@@ -91,24 +87,25 @@ def _last(text: str, begin: int, end: int) -> int:
     return max(i for i, c, depth in _depths(text, begin, end) if c == "/" and not depth)
 
 
-def _walk(plan, text: str) -> None:
+def _walk(plan, text: str, found: set) -> None:
     if plan.getClass().getSimpleName() == "SubqueryAlias" and plan.child().getClass().getSimpleName() == "View":
         return  # a table: its own expressions are of another text
     for c in _seq(plan.children()):
-        _walk(c, text)
+        _walk(c, text, found)
     for e in _seq(plan.expressions()):
-        _walk_expression(e, text)
+        _walk_expression(e, text, found)
 
 
 def settle(spark: SparkSession, text: str, args: dict) -> tuple[DataFrame, str]:
     """The DataFrame of a query, and its text with types settled."""
     for _ in range(1000):
         df = spark.sql(text, args=args) if args else spark.sql(text)
-        try:
-            _walk(df._jdf.queryExecution().analyzed(), text)
-        except _Found as found:
-            begin, end, new = found.change
+        found: set[tuple[int, int, str]] = set()
+        _walk(df._jdf.queryExecution().analyzed(), text, found)
+        if not found:
+            return df, text
+        # all at once, so that equal expressions stay equal; what holds another change waits for it
+        inner = [c for c in found if not any(o != c and c[0] <= o[0] and o[1] <= c[1] for o in found)]
+        for begin, end, new in sorted(inner, reverse=True):
             text = text[:begin] + new + text[end:]
-            continue
-        return df, text
     raise DialectError("types don't settle")

@@ -15,7 +15,9 @@ DIRECTIVES = {
 }
 DEFAULT = "%Y-%m-%d %H:%M:%S"
 #: Text that is cast to a time is read by the first of these that fits.
-READ = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd", "EEE, dd MMM yyyy HH:mm:ss xx"]
+READ = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd"]
+#: Mail dates, without the day of the week that stands before them.
+MAIL = "d MMM yyyy HH:mm:ss xx"
 
 
 def pattern(strftime: str) -> str:
@@ -61,4 +63,5 @@ def truncated(seconds: int, time: str = "current_timestamp()") -> str:
 def cast_sql(value: str) -> str:
     """SQL text of a value read as a time."""
     tries = ", ".join(f'try_to_timestamp(CAST({value} AS STRING), "{p}")' for p in READ)
+    tries += f", try_to_timestamp(regexp_replace(CAST({value} AS STRING), '^[A-Za-z]{{3}}, ', ''), \"{MAIL}\")"
     return f"CASE WHEN ({value}) IS NULL THEN NULL ELSE coalesce(try_cast({value} AS TIMESTAMP), {tries}, CAST(raise_error(concat('failed to parse as datetime: ', CAST({value} AS STRING))) AS TIMESTAMP)) END"

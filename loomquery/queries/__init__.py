@@ -24,4 +24,11 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-from loomquery.queries import pricing  # noqa: E402,F401
+def register_sql(name: str, text: str, oracle: str | None = None, *args) -> None:
+    """Register a query of the dialect; the oracle is the same text unless one is given."""
+    from loomquery.session import Session
+
+    register(name, oracle or text)(lambda spark, sf_dir: Session(spark, sf_dir).sql(text, *args))
+
+
+from loomquery.queries import aggregation, changes, functions, joins, pricing, relational, windows  # noqa: E402,F401

@@ -40,5 +40,5 @@ def bucket_id(*keys: str | Column, buckets: int = BUCKETS) -> Column:
 
 def replicated(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """A dimension that goes to every executor, if the plan's own estimate of its size is within the limit; else as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= limit else df
