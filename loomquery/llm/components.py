@@ -40,7 +40,7 @@ def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b") -> Da
         if tuple(sums) == before:
             break
         before = tuple(sums)
-        after = store.cut(_small_star(_large_star(now).filter("u > v").distinct()).distinct(), "edges")
+        after = store.cut(_small_star(_large_star(now)).distinct(), "edges")
         store.drop(now)
         now = after
     return members(now)

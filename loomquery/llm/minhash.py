@@ -4,12 +4,14 @@ Each text's set of word shingles gets many universal hash minima
 (multiply-shift, one odd multiplier each). Bands of minima bring candidates
 together; a candidate pair's whole signatures are compared, and pairs that
 pass are confirmed on their full shingle sets. Texts of the same words are one
-class and take part once. Within a bucket, every member is paired with the
-least one; only buckets whose members are then not all connected are worked
-through further, a block of leaders at a time, until each pair of its members
-is connected or compared. So a large group of copies costs links in proportion
-to its members, and no partner is left out. Connected components come from
-alternating large-star and small-star.
+class and take part once. Within a bucket, every member is first paired with
+the least one. Only buckets whose members are then not all connected go on:
+small ones pair all their members that aren't connected; the members of larger
+ones, by groups of buckets that share members, are dealt into blocks, and each
+two blocks meet in one task, which compares signatures and full sets in place
+and returns no more links than it takes to connect its members. So no partner
+is left out, and the pairs that are written grow with the members of a group.
+Connected components come from alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from loomquery.llm.components import components
 BANDS, ROWS = 48, 6
 #: Matching minima below which a pair's similarity is under 0.8 but for six standard errors.
 SLACK = 6.0
-#: Leaders that a bucket's members are compared with in one round, at first.
-LEADERS = 16
+#: Members up to which a bucket pairs all that aren't connected, and texts of a block beyond that.
+SMALL, BLOCK = 16, 1024
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 1 << 23
 
@@ -98,23 +100,21 @@ def _class(words, a: int, b: int) -> bytes:
     return hashlib.blake2b(b" ".join(raw.tobytes().split()), digest_size=16).digest()
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store, size: int, percent: int, minima_count: int) -> DataFrame:
-    """The pairs (a, b) of at least percent similarity, by signature and then by full set; written."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _least(minima_count: int, percent: int) -> int:
+    """Matching minima that a pair needs to be looked at."""
     p = percent / 100
-    least = int(minima_count * p - SLACK * (minima_count * p * (1 - p)) ** 0.5)
+    return int(minima_count * p - SLACK * (minima_count * p * (1 - p)) ** 0.5)
 
-    def alike(batch: pa.RecordBatch):
-        sa, sb = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
-        yield batch.select([0, 1]).filter(pa.array((sa == sb).sum(axis=1) >= least))
 
-    own = sigs.select("id", "sig")
-    likely = pairs.join(own.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    likely = store.cut(arrow_map(likely.select("a", "b", "sa", "sb"), alike, f"a {kind}, b {kind}"), "likely")
+def _texts_of(ids: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
+    """A written table of the texts (id, text) that holds those of all given ids, and few others.
 
-    # a fixed number of bits says which texts can be needed; more texts only make it less selective
+    A fixed number of bits says which texts can be needed; more ids only make
+    it less selective.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits")).toPandas()
+    needed = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     words[needed["w"].to_numpy(dtype=np.int64)] = needed["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -123,17 +123,38 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store,
         s = np.asarray(batch.column(2))
         yield batch.select([0, 1]).filter(pa.array((shared.value[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    texts = store.cut(arrow_map(docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text", slot.alias("s")), maybe, f"id {kind}, text string"), "texts")
+    rows = docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text", slot.alias("s"))
+    return store.cut(arrow_map(rows, maybe, f"id {kind}, text string"), "texts")
+
+
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    data, offsets, _ = buffers(column)
+    return [s[3] for i, j in chunks(offsets) for s in shingle_sets(data, offsets[i : j + 1], size)]
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store, size: int, percent: int, minima_count: int) -> DataFrame:
+    """The pairs (a, b) of at least percent similarity, by signature and then by full set; written."""
+    kind = docs.schema["id"].dataType.simpleString()
+    least = _least(minima_count, percent)
+
+    def alike(batch: pa.RecordBatch):
+        sa, sb = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
+        yield batch.select([0, 1]).filter(pa.array((sa == sb).sum(axis=1) >= least))
+
+    own = sigs.select("id", "sig")
+    likely = pairs.join(own.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+    likely = store.cut(arrow_map(likely.select("a", "b", "sa", "sb"), alike, f"a {kind}, b {kind}"), "likely")
+    texts = _texts_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))), docs, store)
 
     def confirm(batch: pa.RecordBatch):
-        sets: list[list] = []
-        for c in (2, 3):
-            data, offsets, _ = buffers(batch.column(c))
-            sets.append([s[3] for i, j in chunks(offsets) for s in shingle_sets(data, offsets[i : j + 1], size)])
-        good = []
-        for x, y in zip(*sets, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= percent * (len(x) + len(y) - both))
+        good = [_alike(x, y, percent) for x, y in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     full = likely.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
@@ -151,6 +172,52 @@ def _pairs(members: DataFrame, percent: int, leaders: int) -> DataFrame:
     return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a < b").distinct()
 
 
+def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store, size: int, percent: int, minima_count: int) -> DataFrame:
+    """Links that connect all members of large buckets that links can connect; written."""
+    kind = docs.schema["id"].dataType.simpleString()
+    least = _least(minima_count, percent)
+    groups = store.cut(components(members.select(F.col("low_id").alias("a"), F.col("id").alias("b")), store), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    labels = members.groupBy("id").agg(F.min("component").alias("label"))
+    dealt = groups.withColumnRenamed("node", "id").join(sizes, "component").join(labels, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = store.cut(dealt, "dealt")
+    texts = _texts_of(dealt.select("id"), docs, store)
+    rows = dealt.join(sigs.select("id", "sig"), "id").join(texts, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "sig", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, labels_, block = (table.column(c).to_pylist() for c in ("id", "label", "block"))
+        sets = _sets(table.column("text").combine_chunks(), size)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        n = np.array([len(x) for x in sets])
+        block = np.array(block)
+        up = {x: x for x in labels_}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        links: list = []
+        for x in left.tolist():
+            own = right[right > x] if block.min() == block.max() else right
+            own = own[np.minimum(n[own], n[x]) * 100 >= percent * np.maximum(n[own], n[x])]
+            same = (sig[own] == sig[x]).sum(axis=1)
+            for y in own[same >= least].tolist():
+                a, b = top(labels_[x]), top(labels_[y])
+                if a != b and _alike(sets[x], sets[y], percent):
+                    up[max(a, b)] = min(a, b)
+                    links.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([a for a, _ in links], table.schema.field("id").type), "b": pa.array([b for _, b in links], table.schema.field("id").type)})
+
+    links = store.cut(rows.groupBy("component", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+    store.drop(texts)
+    return links
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable by links), kept (id = component_id).
 
@@ -169,25 +236,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = store.cut(linked.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
 
     reps = linked.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"]).dropDuplicates(["cls", "id"])
-    rows_ = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    keyed = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    members = rows_.withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("key", "id", "n", F.col("id").alias("component"), F.row_number().over(bucket.orderBy("id", "n")).alias("rn"))
-    members = store.cut(members, "members")
-
-    links, found, leaders = None, None, 1
-    while True:
-        more = _verified(_pairs(members, percent, leaders), sigs, docs, store, shingle, percent, bands * rows)
-        joined = more if links is None else store.cut(links.unionByName(more), "links")
-        links = joined
-        found = store.cut(components(links, store), "components")
-        after = members.filter(F.col("rn") > leaders).drop("component", "rn").join(found.withColumnRenamed("node", "id"), "id", "left")
-        after = after.withColumn("component", F.coalesce("component", "id"))
-        after = after.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).filter("low < high")
-        after = store.cut(after.select("key", "id", "n", "component", F.row_number().over(bucket.orderBy("id", "n")).alias("rn")), "members")
-        store.drop(members)
-        members, leaders = after, LEADERS if leaders == 1 else leaders * 2
-        if members.isEmpty():
-            break
+    members = keyed.withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+    members = store.cut(members.select("key", "id", "n", F.col("id").alias("component"), F.row_number().over(bucket.orderBy("id", "n")).alias("rn")), "members")
+    verify = (sigs, docs, store, shingle, percent, bands * rows)
+    links = _verified(_pairs(members, percent, 1), *verify)
+    found = store.cut(components(links, store), "components")
+
+    # buckets whose members aren't all connected: the rest of their pairs
+    after = members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    after = after.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "size": F.count("*").over(bucket), "low_id": F.min("id").over(bucket)}).filter("low < high")
+    after = store.cut(after.withColumn("rn", F.row_number().over(bucket.orderBy("id", "n"))), "members")
+    store.drop(members)
+    more = _verified(_pairs(after.filter(F.col("size") <= SMALL), percent, SMALL), *verify)
+    blocks = _in_blocks(after.filter(F.col("size") > SMALL), *verify)
+    found = store.cut(components(links.unionByName(more).unionByName(blocks), store), "components")
+
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
