@@ -14,6 +14,8 @@ spelled in bytes. Vocabularies of this kind only; others are refused.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +29,10 @@ from loomquery.llm._text import _BASE, _BYTE, _INVERSE, _power, buffers, chunks,
 
 SPACE = "▁"
 #: Bytes of units that one suffix array indexes, and ids of known units that a task holds.
-BLOCK, HELD = 1 << 19, 8 << 20
+BLOCK, HELD = 1 << 18, 4 << 20
+#: Ids that are spelled at once, and bits of the table of pairs of pieces that were asked for.
+SPELLED, ANSWERS = 1 << 17, 19
 _SEPARATOR = 0xFE
-_START, _OTHER = -1, -2
 
 
 @dataclass
@@ -42,7 +45,8 @@ class Vocabulary:
     rank: list[int]
     parts: dict[int, tuple[int, int]]
     unknown: int
-    memo: dict[int, bool] = field(default_factory=dict)
+    asked: np.ndarray = field(default_factory=lambda: np.full(1 << ANSWERS, -1, np.int64))
+    answer: np.ndarray = field(default_factory=lambda: np.zeros(1 << ANSWERS, bool))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -84,21 +88,39 @@ class Vocabulary:
         return found
 
     def merges(self, raw: bytes):
-        """Encode by merging the best adjacent pair again and again: (ids, the last merge). -1 stands for a character without a piece."""
+        """Encode by merging the best adjacent pair again and again, the left one of equals: (ids with their bytes, the last merge).
+
+        -1 stands for a character without a piece. The last merge is None
+        unless one piece is left.
+        """
         now: list = [(self.ids.get(c.encode(), -1), c.encode()) for c in raw.decode()]
+        left, right = list(range(-1, len(now) - 1)), [*range(1, len(now)), -1]
+        queue: list = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and right[k] >= 0:
+                i = self.ids.get(now[k][1] + now[right[k]][1])
+                if i is not None:
+                    heapq.heappush(queue, (self.rank[i], k, i, len(now[k][1])))
+
+        for k in range(len(now)):
+            offer(k)
         last = None
-        while len(now) > 1:
-            best = None
-            for k in range(len(now) - 1):
-                i = self.ids.get(now[k][1] + now[k + 1][1])
-                if i is not None and (best is None or self.rank[i] < best[0]):
-                    best = (self.rank[i], k, i)
-            if best is None:
-                break
-            _, k, i = best
-            last = (i, now[k][0], now[k + 1][0])
-            now[k : k + 2] = [(i, now[k][1] + now[k + 1][1])]
-        return now, last if len(now) == 1 else None
+        while queue:
+            _, k, i, size = heapq.heappop(queue)
+            # passed over if either part has changed since
+            if now[k] is None or len(now[k][1]) != size or right[k] < 0 or size + len(now[right[k]][1]) != len(self.pieces[i]):
+                continue
+            other = right[k]
+            last = (i, now[k][0], now[other][0])
+            now[k], now[other] = (i, now[k][1] + now[other][1]), None
+            right[k] = right[other]
+            if right[k] >= 0:
+                left[right[k]] = k
+            offer(left[k])
+            offer(k)
+        out = [x for x in now if x is not None]
+        return out, last if len(out) == 1 else None
 
     def encode_merging(self, raw: bytes) -> list[int]:
         out = []
@@ -106,13 +128,18 @@ class Vocabulary:
             out += [i] if i >= 0 else self.byte_ids[list(part)].tolist()
         return out
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether the encoding of both pieces' text is just the two."""
-        key = a << 20 | b
-        known = self.memo.get(key)
-        if known is None:
-            known = self.memo[key] = self._follows(a, b)
-        return known
+    def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the encoding of two pieces' text is just the two, for each pair. Answers are kept in a table of fixed size."""
+        key = a.astype(np.int64) << 20 | b
+        slot = ((key.astype(np.uint64) * np.uint64(_INVERSE)) >> np.uint64(64 - ANSWERS)).astype(np.int64)
+        todo = self.asked[slot] != key
+        out = self.answer[slot]
+        if todo.any():
+            own, back = np.unique(key[todo], return_inverse=True)
+            found = np.array([self._follows(k >> 20, k & 0xFFFFF) for k in own.tolist()], bool)
+            out[todo] = found[back]
+            self.asked[slot[todo]], self.answer[slot[todo]] = key[todo], out[todo]
+        return out
 
     def _follows(self, a: int, b: int) -> bool:
         limit = 1 << 40  # merges across the border of this step or later come too late
@@ -129,61 +156,92 @@ class Vocabulary:
             else:
                 return True
 
-    def encode_units(self, units: list[bytes]) -> list[list[int]]:
-        """The ids of each unit."""
-        out: list[list[int]] = []
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, and how many each has."""
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         i = 0
         while i < len(units):
             j, held = i, 0
             while j < len(units) and (j == i or held + len(units[j]) < BLOCK):
                 held += len(units[j]) + 1
                 j += 1
-            out += self._encode_block(units[i:j])
+            ids, n = self._encode_block(units[i:j])
+            flat.append(ids)
+            counts.append(n)
             i = j
-        return out
+        return np.concatenate(flat), np.concatenate(counts)
 
-    def _encode_block(self, units: list[bytes]) -> list[list[int]]:
+    def _encode_block(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer(bytes([_SEPARATOR]).join([*units, b""]), np.uint8)
+        other, begin = len(self.pieces), len(self.pieces) + 1  # a character without a piece, the start of a unit
+        size = np.array([len(u) for u in units])
+        bounds = np.concatenate([[0], np.cumsum(size + 1)])
         start, length, piece = self.edges(text)
         end = start + length
-        order = np.lexsort((-length, end))
-        last = [_OTHER - 1] * (len(text) + 1)  # nothing reaches the position yet
-        bounds = np.concatenate([[0], np.cumsum([len(u) + 1 for u in units])]).tolist()
-        for b in bounds[:-1]:
-            last[b] = _START
-        none, memo, follows = _OTHER - 1, self.memo, self.follows
-        for e, s, t in zip(end[order].tolist(), start[order].tolist(), piece[order].tolist(), strict=True):
-            if last[e] == none:
-                p = last[s]
-                if p >= 0 and t >= 0:
-                    known = memo.get(p << 20 | t)
-                    if known or (known is None and follows(p, t)):
-                        last[e] = t
-                elif p != none:
-                    last[e] = t
-        out = []
-        width = [len(p) for p in self.pieces]
-        for k, unit in enumerate(units):
-            if unit.startswith(b"  "):  # runs of spaces are of one rank: merged as they come
-                out.append(self.encode_merging(unit))
-                continue
-            begin, at, ids = bounds[k], bounds[k] + len(unit), []
-            while at > begin:
-                t = last[at]
-                if t >= 0:
-                    ids.append(t)
-                    at -= width[t]
-                else:
-                    size = 1
-                    while text[at - size] & 0xC0 == 0x80:
-                        size += 1
-                    ids += self.byte_ids[text[at - size : at][::-1]].tolist()
-                    at -= size
-            out.append(ids[::-1])
-        return out
+        place = end - np.repeat(bounds[:-1], size + 1)[start]
+        order = np.argsort(place.astype(np.int16) if size.max() < 1 << 15 else place, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        last = np.full(len(text) + 1, -1, np.int64)  # the last piece of the encoding up to a position
+        last[bounds[:-1]] = begin
+        steps = np.flatnonzero(np.diff(place[order], prepend=-1))
+        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(order)], strict=True):
+            before, own = last[start[a:b]], piece[a:b]
+            good = (before >= other) | (own == other) & (before >= 0)
+            ask = np.flatnonzero((before >= 0) & ~good)
+            if len(ask):
+                good[ask] = self.follow(before[ask], own[ask])
+            last[end[a:b][good]] = own[good]
+        # back from the end of every unit
+        width = np.array([*map(len, self.pieces), 0])
+        at, unit = bounds[:-1] + size, np.arange(len(units))
+        special = np.array([u.startswith(b"  ") for u in units])  # runs of spaces are of one rank: merged as they come
+        trail: list = []
+        unit = unit[~special & (size > 0)]
+        while len(unit):
+            own = last[at[unit]]
+            odd = own >= other
+            special[unit[odd]] = True
+            unit, own = unit[~odd], own[~odd]
+            trail.append((unit, own))
+            at[unit] -= width[own]
+            unit = unit[at[unit] > bounds[unit]]
+        if trail:
+            of, ids = np.concatenate([u for u, _ in trail]), np.concatenate([t for _, t in trail])
+            step = np.repeat(np.arange(len(trail)), [len(u) for u, _ in trail])
+            keep = ~special[of]
+            of, ids, step = of[keep], ids[keep], step[keep]
+            order = np.lexsort((-step, of))
+            of, ids = of[order], ids[order]
+        else:
+            of, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if special.any():
+            alone = {k: self._backwards(text, last, int(bounds[k]), int(bounds[k] + size[k]), width, units[k]) for k in np.flatnonzero(special).tolist()}
+            of = np.concatenate([of, np.repeat(list(alone), [len(x) for x in alone.values()])]).astype(np.int64)
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(alone.values()), np.int64)])
+            order = np.argsort(of, kind="stable")
+            of, ids = of[order], ids[order]
+        return ids.astype(np.int32), np.bincount(of, minlength=len(units)).astype(np.int64)
+
+    def _backwards(self, text: np.ndarray, last: np.ndarray, begin: int, at: int, width: np.ndarray, unit: bytes) -> list[int]:
+        """The ids of a unit that holds characters without a piece or begins in several spaces."""
+        if unit.startswith(b"  "):
+            return self.encode_merging(unit)
+        ids: list[int] = []
+        while at > begin:
+            t = int(last[at])
+            if t < len(self.pieces):
+                ids.append(t)
+                at -= int(width[t])
+            else:
+                size = 1
+                while text[at - size] & 0xC0 == 0x80:
+                    size += 1
+                ids += self.byte_ids[text[at - size : at][::-1]].tolist()
+                at -= size
+        return ids[::-1]
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, piece) of every occurrence of every reachable piece, and of characters without one (piece -2)."""
+        """(start, length, piece) of every occurrence of every reachable piece, and of characters without one (piece: the number of pieces)."""
         array, first, second = suffix_array(text)
         lows, highs, names = [], [], []
         ids, lengths, low1, high1, low2, high2 = self._searched()
@@ -217,12 +275,12 @@ class Vocabulary:
         single = np.array([r < 0 for r in self.rank])
         covered[start[single[piece]]] = True
         other = ~covered[chars]
-        return np.concatenate([start, chars[other]]), np.concatenate([length, size[other]]), np.concatenate([piece, np.full(other.sum(), _OTHER)])
+        return np.concatenate([start, chars[other]]), np.concatenate([length, size[other]]), np.concatenate([piece, np.full(other.sum(), len(self.pieces))])
 
     def _searched(self):
         """Search bounds of the pieces that merging can reach, as the big-endian numbers of their first 16 bytes."""
         if not hasattr(self, "_bounds"):
-            own = [i for raw, i in self.ids.items() if self.rank[i] < 0 or i in self.parts]
+            own = [i for _, i in sorted(self.ids.items()) if self.rank[i] < 0 or i in self.parts]
             low = np.frombuffer(b"".join(self.pieces[i][:16].ljust(16, b"\0") for i in own), ">u8").reshape(-1, 2).astype(np.uint64)
             high = np.frombuffer(b"".join(self.pieces[i][:16].ljust(16, b"\xff") for i in own), ">u8").reshape(-1, 2).astype(np.uint64)
             self._bounds = (np.array(own, np.int64), np.array([len(self.pieces[i]) for i in own], np.int64), low[:, 0], high[:, 0], low[:, 1], high[:, 1])
@@ -289,10 +347,9 @@ class Encoder:
         new = ~np.isin(own, self.hashes, assume_unique=True)
         if new.any():
             raw = text.tobytes()
-            ids = self.vocabulary.encode_units([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            sizes = np.array([len(x) for x in ids], np.int64)
+            ids, sizes = self.vocabulary.encode_units([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
             first = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.int32)])
+            self.flat = np.concatenate([self.flat, ids])
             hashes_, first, sizes = np.concatenate([self.hashes, own[new]]), np.concatenate([self.first, first]), np.concatenate([self.count, sizes])
             order = np.argsort(hashes_)
             self.hashes, self.first, self.count = hashes_[order], first[order], sizes[order]
@@ -319,7 +376,7 @@ def encode(df: DataFrame, path: str, *keep: str, text_col: str = "text") -> Data
         for batch in batches:
             data, offsets, valid = buffers(batch.column(len(keep)))
             ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets):
                 flat, n = own.encode(data, offsets[i : j + 1])
                 ids.append(flat)
                 counts.append(n)
@@ -357,8 +414,11 @@ def decode(df: DataFrame, path: str, *keep: str, ids_col: str = "ids") -> DataFr
     def spell(batch: pa.RecordBatch):
         column = batch.column(len(keep))
         first = np.asarray(column.offsets).astype(np.int64)
-        data, offsets = decode_flat(shared.value, np.asarray(column.values.slice(first[0], first[-1] - first[0])), first - first[0])
-        texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+        texts = [pa.array([], pa.string())]
+        for i, j in chunks(first, SPELLED):
+            data, offsets = decode_flat(shared.value, np.asarray(column.values[first[i] : first[j]]), first[i : j + 1] - first[i])
+            texts.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)))
+        texts = pa.concat_arrays(texts)
         if column.null_count:
             texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names)
