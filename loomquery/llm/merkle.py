@@ -29,8 +29,8 @@ def pieces(text: Column, piece: int = PIECE) -> Column:
 
 def tree(text: Column) -> Column:
     """The nodes below the root of a text that isn't null: an array of sections, each with its own hash and its paragraphs'."""
-    sections = F.split(text, r"(?<=\n\n)(?!\n)")
-    return F.transform(F.transform(sections, lambda s: F.transform(F.split(s, r"(?<=\n)(?!\n)"), F.md5)), lambda p: F.struct(F.md5(F.array_join(p, "")).alias("own"), p.alias("paragraphs")))
+    sections = F.split(text, r"(?<=\n\n)(?=[^\n])")
+    return F.transform(F.transform(sections, lambda s: F.transform(F.split(s, r"(?<=\n)(?=[^\n])"), F.md5)), lambda p: F.struct(F.md5(F.array_join(p, "")).alias("own"), p.alias("paragraphs")))
 
 
 def fingerprint(sections: Column, own: Column) -> Column:
