@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Nothing yet: the data model that this engine follows has no streams, watermarks or stateful operators."""

@@ -39,6 +39,8 @@ def rows(df):
         ("SELECT row_number() OVER () FROM (VALUES (1), (2)) AS v(a)", [(1,), (2,)]),
         ("SELECT to_date('02.03.2024 10:11', '%d.%m.%Y %H:%M')", [(datetime.datetime(2024, 3, 2),)]),
         ("VALUES (1, 'x')", [(1, "x")]),
+        ("SELECT 2147483647 + 1, 3 - 1 - 1, substr('abc', 1 + 1)", [(2147483648, 1, "bc")]),
+        ("SELECT row_number() OVER w, sum(a) OVER w, count(*) OVER v FROM (VALUES (4)) AS t(a) WINDOW w AS (), v AS (PARTITION BY a ORDER BY a ROWS 1 + 1 PRECEDING)", [(1, 4, 1)]),
         ("WITH a AS (SELECT 1 AS x), b AS (SELECT x + 1 AS y FROM a) SELECT y FROM b UNION SELECT x FROM a", [(2,), (1,)]),
     ],
 )
@@ -144,7 +146,7 @@ def test_definitions(s):
     s.sql("CREATE TABLE IF NOT EXISTS t (id INT PRIMARY KEY)")
     with pytest.raises(DialectError):
         s.sql("CREATE TABLE t (id INT PRIMARY KEY)")
-    s.sql("CREATE UNLOGGED TABLE g (a INT NOT NULL, b TEXT[], PRIMARY KEY (a)) USING memtx DISTRIBUTED GLOBALLY OPTION (TIMEOUT = 3.0)")
+    s.sql("CREATE UNLOGGED TABLE g (a INT NOT NULL, b TEXT[], PRIMARY KEY (a)) DISTRIBUTED GLOBALLY OPTION (TIMEOUT = 3.0)")
     assert s.table("g").placed is None and s.table("t").placed == ["id"]
     s.sql("CREATE UNIQUE INDEX i ON g USING TREE (a)")
     s.sql("ALTER INDEX i RENAME TO j")
