@@ -21,21 +21,32 @@ MAIL = "d MMM yyyy HH:mm:ss xx"
 
 
 def pattern(strftime: str) -> str:
-    """A strftime pattern in Spark's letters."""
-    out, at, strftime = [], 0, strftime or DEFAULT
+    """A strftime pattern in Spark's letters; other letters are quoted."""
+    strftime = strftime or DEFAULT
+    out, literal, at = [], "", 0
+
+    def close() -> None:
+        nonlocal literal
+        if literal:
+            out.append("'" + literal.replace("'", "''") + "'" if any(c.isalpha() or c in "'[]{}#" for c in literal) else literal)
+        literal = ""
+
     while at < len(strftime):
         c = strftime[at]
-        if c == "%":
+        if c != "%":
+            literal += c
+        else:
             at += 1
             if at == len(strftime) or strftime[at] not in DIRECTIVES:
                 raise DialectError(f"pattern {strftime!r} has a directive that isn't known")
-            out.append(DIRECTIVES[strftime[at]])
-        elif c.isalpha():
-            out.append(f"'{c}'")
-        else:
-            out.append("''" if c == "'" else c)
+            if strftime[at] in "nt%":
+                literal += DIRECTIVES[strftime[at]]
+            else:
+                close()
+                out.append(DIRECTIVES[strftime[at]])
         at += 1
-    return "".join(out).replace("''", "") if "''" in "".join(out) and "'" not in strftime else "".join(out)
+    close()
+    return "".join(out)
 
 
 def to_date(text: Column, strftime: str = "") -> Column:

@@ -70,6 +70,7 @@ def test_rules():
     assert "INDEXED" not in to_spark("SELECT a FROM t INDEXED BY i WHERE a = 1").upper()
     assert parse("-- a comment\nSELECT 1 /* and another */")[0].low == "select"
     assert pattern("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
+    assert pattern("%d o'clock %%") == "dd' o''clock %'" and pattern("") == "yyyy-MM-dd HH:mm:ss"
     assert similar_regex("a%b_")[0] == "(?s)^(a.*b.)$"
 
 
@@ -201,3 +202,38 @@ def test_except_is_anti_join(spark):
     assert got == {r[0] for r in a.distinct().join(b.withColumnRenamed("x", "y"), F.col("x").eqNullSafe(F.col("y")), "left_anti").collect()} == {1, None}
     assert joins.not_in(a, "x", b).count() == 2 and joins.not_in(a, "x", spark.createDataFrame([(None,)], "x int")).count() == 0
     assert joins.not_in(a, "x", b.limit(0)).count() == 4
+
+
+def test_changes_by_columns(spark):
+    """The builders that the statements stand on."""
+    from pyspark.sql import functions as F
+
+    from loomquery.operators import dml
+    from loomquery.sources.tables import Table
+
+    t = Table(spark.createDataFrame([(1, 10, True), (2, None, False)], "id bigint, n bigint, flag boolean"), ["id"])
+    out = dml.update(t, {"n": F.col("n") + 1}, F.col("n") > 5)
+    assert sorted(rows(out.df)) == [(1, 11, True), (2, None, False)]
+    assert rows(dml.delete(t, F.col("n") > 5).df) == [(2, None, False)] and dml.delete(t).df.count() == 0
+    new = spark.createDataFrame([(1, 5, True), (3, 7, True)], "id bigint, n bigint, flag boolean")
+    got = dml.upsert(t, new, {"n": ("-", F.lit(4)), "flag": ("and", F.lit(False))})
+    assert sorted(rows(got.df)) == [(1, 6, False), (2, None, False), (3, 7, True)]
+    assert sorted(rows(dml.insert(t, new, conflict="replace").df), key=str) == [(1, 5, True), (2, None, False), (3, 7, True)]
+    with pytest.raises(DialectError):
+        dml.insert(t, new.drop("n"))
+    with pytest.raises(ConflictError):
+        dml.upsert(t, new.union(new), {})
+
+
+def test_entry_without_the_corpus_modules():
+    """The engine's own queries don't need them."""
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    real = importlib.util.find_spec
+    try:
+        importlib.util.find_spec = lambda name, *a: None if name in ("loomquery.llm", "corpus_pipeline") else real(name, *a)
+        assert entry.queries() and not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
+    finally:
+        importlib.util.find_spec = real
