@@ -7,6 +7,8 @@ can take it away.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
-    folder = "file://" + tempfile.mkdtemp(prefix="loomquery-")
+    local = tempfile.mkdtemp(prefix="loomquery-")
+    atexit.register(shutil.rmtree, local, True)
+    folder = "file://" + local
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -46,9 +50,10 @@ class Store:
         table._loomquery_path = path
         return table
 
-    def drop(self, table: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        self.remove(table._loomquery_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for table in tables:
+            self.remove(table._loomquery_path)
 
     def remove(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -56,12 +61,50 @@ class Store:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of an Arrow batch that a function is given at once.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches):
+    """The batches in slices of about SLICE_BYTES, without copies; afterwards, the worker's memory goes back to the system."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside other tasks of their executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def over_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with a function over an iterator of batches, whose batches are slices of bounded size."""
+
+    def run(batches):
+        try:
+            yield from function(slices(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with a plain batch function: RecordBatch -> iterable of RecordBatch."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+            yield from function(batch)
 
-    return df.mapInArrow(run, schema)
+    return over_batches(df, run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import Store, arrow_map
+from loomquery.llm._store import Store, arrow_map, over_batches
 from loomquery.llm._text import buffers, chunks, mix, sums
 
 #: Slots of the filters, probes per n-gram, and the share that makes an n-gram a language's own.
@@ -121,7 +121,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
                 k = len(g[i : i + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(g[i : i + k].astype(np.int64)), pa.array(c[i : i + k])], ["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = over_batches(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     store = Store(spark, "langid")
     counts = store.cut(counts, "counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language

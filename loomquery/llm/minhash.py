@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import Store, arrow_map
+from loomquery.llm._store import Store, arrow_map, give_back
 from loomquery.llm._text import SPACED, buffers, chunks, mix, split_words, window_hashes
 from loomquery.llm.components import components
 
@@ -154,13 +154,15 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store,
     texts = _texts_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))), docs, store)
 
     def confirm(batch: pa.RecordBatch):
-        good = [_alike(x, y, percent) for x, y in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True)]
+        good: list[bool] = []
+        for i in range(0, batch.num_rows, 128):
+            part = batch.slice(i, 128)
+            good += [_alike(x, y, percent) for x, y in zip(_sets(part.column(2), size), _sets(part.column(3), size), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     full = likely.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     links = store.cut(arrow_map(full.select("a", "b", "ta", "tb"), confirm, f"a {kind}, b {kind}").distinct(), "links")
-    store.drop(texts)
-    store.drop(likely)
+    store.drop(texts, likely)
     return links
 
 
@@ -187,6 +189,12 @@ def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Stor
     rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "sig", "text")
 
     def compare(table: pa.Table) -> pa.Table:
+        try:
+            return pairs_of(table)
+        finally:
+            give_back()
+
+    def pairs_of(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, labels_, block = (table.column(c).to_pylist() for c in ("id", "label", "block"))
         sets = _sets(table.column("text").combine_chunks(), size)
@@ -214,7 +222,7 @@ def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Stor
         return pa.table({"a": pa.array([a for a, _ in links], table.schema.field("id").type), "b": pa.array([b for _, b in links], table.schema.field("id").type)})
 
     links = store.cut(rows.groupBy("component", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
-    store.drop(texts)
+    store.drop(texts, groups, dealt)
     return links
 
 
@@ -251,10 +259,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     store.drop(members)
     more = _verified(_pairs(after.filter(F.col("size") <= SMALL), percent, SMALL), *verify)
     blocks = _in_blocks(after.filter(F.col("size") > SMALL), *verify)
+    store.drop(found, after)
     found = store.cut(components(links.unionByName(more).unionByName(blocks), store), "components")
+    rows_ = store.cut(sigs.select("id", "n_shingles", "cls"), "rows")
+    store.drop(links, more, blocks, sigs)
 
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
+    out = rows_.join(by_class, "cls", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

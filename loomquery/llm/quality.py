@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import arrow_map
+from loomquery.llm._store import arrow_map, over_batches
 from loomquery.llm._text import SPACED, buffers, chunks, split_words, sums
 
 THRESHOLD = 0.3
@@ -146,7 +146,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = df.schema[id_col].dataType.simpleString()
     measured = arrow_map(texts, measure, f"id {kind}, x array<double>")
-    sums_ = measured.join(marks, "id").select("y", "x").mapInArrow(gather, "y long, n double, total array<double>, outer array<double>")
+    sums_ = over_batches(measured.join(marks, "id").select("y", "x"), gather, "y long, n double, total array<double>, outer array<double>")
     summed = sums_.groupBy("y").agg(
         F.sum("n").alias("n"),
         *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(FEATURES)],

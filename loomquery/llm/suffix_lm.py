@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import Store, arrow_map
+from loomquery.llm._store import Store, arrow_map, over_batches
 from loomquery.llm._text import SPACED, buffers, chunks, split_words, sums
 
 ADD = 0.1
@@ -92,7 +92,7 @@ def _counted(texts: DataFrame, keys_of, limit: int = 4 << 20) -> DataFrame:
                     held = _Counter()
         yield from held.batches()
 
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return over_batches(texts, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
