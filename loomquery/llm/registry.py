@@ -93,12 +93,11 @@ def op4_sentencepiece(spark, sf_dir):
     from loomquery.llm import sentencepiece_bpe as sp
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sp.encode(table(spark, sf_dir, "documents"), path, "doc_id", "text")
-    decoded = sp.decode(encoded.withColumnRenamed("text", "original"), path, "doc_id", "original", "ids")
-    return decoded.select(
-        "doc_id", F.coalesce(F.octet_length("original"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+    encoded = sp.encode(table(spark, sf_dir, "documents"), path, "doc_id", "text", spell=True)
+    return encoded.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.col("text").eqNullSafe(F.replace("original", F.lit(sp.SPACE), F.lit(" "))).alias("round_trip"),
+        F.col("decoded").eqNullSafe(F.replace("text", F.lit(sp.SPACE), F.lit(" "))).alias("round_trip"),
     )
 
 

@@ -24,12 +24,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import arrow_map
+from loomquery.llm._store import arrow_map, over_batches
 from loomquery.llm._text import _BASE, _BYTE, _INVERSE, _power, buffers, chunks, mix, sums
 
 SPACE = "▁"
 #: Bytes of units that one suffix array indexes, and ids of known units that a task holds.
 BLOCK, HELD = 1 << 18, 4 << 20
+#: Bytes of text whose ids are returned at once.
+RETURNED = 8 << 20
 #: Ids that are spelled at once, and bits of the table of pairs of pieces that were asked for.
 SPELLED, ANSWERS = 1 << 17, 19
 _SEPARATOR = 0xFE
@@ -360,31 +362,51 @@ class Encoder:
         return flat, sums(count, np.searchsorted(start, begin))
 
 
-def encode(df: DataFrame, path: str, *keep: str, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, *keep: str, text_col: str = "text", spell: bool = False) -> DataFrame:
     """The kept columns of each row, and ids: the pieces of the text, without any special ones.
 
     A null text has null ids, an empty one none; repeated rows each give a
-    row; texts of any length are encoded whole.
+    row; texts of any length are encoded whole. spell: also decoded, what the
+    ids spell, made from the ids by the same task.
     """
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # the size of the vocabulary
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-    schema = "".join(f"k{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep)) + "ids array<int>"
-    names = [*[f"k{i}" for i in range(len(keep))], "ids"]
+    schema = "".join(f"k{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep)) + "ids array<int>" + ", decoded string" * spell
+    names = [*[f"k{i}" for i in range(len(keep))], "ids", *["decoded"] * spell]
 
     def run(batches):
         own = Encoder(shared.value)
         for batch in batches:
             data, offsets, valid = buffers(batch.column(len(keep)))
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for i, j in chunks(offsets):
-                flat, n = own.encode(data, offsets[i : j + 1])
-                ids.append(flat)
-                counts.append(n)
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=None if valid.all() else pa.array(~valid))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names)
+            for i, j in chunks(offsets, RETURNED):
+                ids, counts, texts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+                for a, b in chunks(offsets[i : j + 1]):
+                    flat, n = own.encode(data, offsets[i + a : i + b + 1])
+                    ids.append(flat)
+                    counts.append(n)
+                    if spell:
+                        texts.append(spelled(own.vocabulary.pieces, flat, np.concatenate([[0], np.cumsum(n)])))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+                there = valid[i:j]
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=None if there.all() else pa.array(~there))]
+                if spell:
+                    out.append(_nulled(pa.concat_arrays(texts), there))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *out], names)
 
-    return rows.mapInArrow(run, schema).toDF(*keep, "ids")
+    return over_batches(rows, run, schema).toDF(*keep, *names[len(keep) :])
+
+
+def _nulled(texts: pa.Array, valid: np.ndarray) -> pa.Array:
+    return texts if valid.all() else pa.compute.if_else(pa.array(valid), texts, pa.scalar(None, pa.string()))
+
+
+def spelled(pieces: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The texts that consecutive runs of ids spell."""
+    texts = [pa.array([], pa.string())]
+    for i, j in chunks(first, SPELLED):
+        data, offsets = decode_flat(pieces, ids[first[i] : first[j]], first[i : j + 1] - first[i])
+        texts.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)))
+    return pa.concat_arrays(texts)
 
 
 def decode_flat(pieces: list[bytes], ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,13 +436,7 @@ def decode(df: DataFrame, path: str, *keep: str, ids_col: str = "ids") -> DataFr
     def spell(batch: pa.RecordBatch):
         column = batch.column(len(keep))
         first = np.asarray(column.offsets).astype(np.int64)
-        texts = [pa.array([], pa.string())]
-        for i, j in chunks(first, SPELLED):
-            data, offsets = decode_flat(shared.value, np.asarray(column.values[first[i] : first[j]]), first[i : j + 1] - first[i])
-            texts.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)))
-        texts = pa.concat_arrays(texts)
-        if column.null_count:
-            texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+        texts = _nulled(spelled(shared.value, np.asarray(column.values), first), np.asarray(column.is_valid()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names)
 
     return arrow_map(rows, spell, schema).toDF(*keep, "text")

@@ -62,6 +62,8 @@ def test_round_trip(spark):
         assert r.text == (None if r.original is None else r.original.replace("▁", " "))
         assert r.ids == (None if r.original is None else own.encode(r.original))
     assert sp.encode(frame(spark, []), MODEL, "doc_id").count() == 0
+    spelled = {r.doc_id: r.decoded for r in sp.encode(frame(spark, rows), MODEL, "doc_id", spell=True).collect()}
+    assert all(spelled[i] == (None if t is None else t.replace("▁", " ")) for i, t in rows if i is not None)
 
 
 def test_long_merges_equal_short_search():
