@@ -37,10 +37,9 @@ def secret_scan(spark, docs, sf_dir):
 def sentencepiece(spark, docs, sf_dir):
     """Encode the texts; round_trip says whether decoding gives a text back (with plain spaces for space signs)."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(docs, path, "doc_id", "lang", "source", "n_chars", "text")
-    decoded = sentencepiece_bpe.decode(encoded.withColumnRenamed("text", "original"), path, "doc_id", "lang", "source", "n_chars", "original", "ids")
-    same = F.col("text").eqNullSafe(F.replace("original", F.lit(sentencepiece_bpe.SPACE), F.lit(" ")))
-    return decoded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    encoded = sentencepiece_bpe.encode(docs, path, "doc_id", "lang", "source", "n_chars", "text", spell=True)
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(sentencepiece_bpe.SPACE), F.lit(" ")))
+    return encoded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
