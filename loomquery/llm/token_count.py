@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm._store import arrow_map
+from loomquery.llm._store import over_batches
 from loomquery.llm._text import SPACED, buffers, chunks, split_words
 
-#: Bytes of text in a chunk, and words handed to the library at once.
-CHUNK = 4 << 20
+#: Bytes of text in a chunk, words handed to the library at once, and known words that a task holds.
+CHUNK = 2 << 20
 WORDS_AT_ONCE = 20_000
+HELD = 1 << 20
 
 
 @functools.cache
@@ -59,18 +60,31 @@ def lengths(texts: list[str], path: str) -> np.ndarray:
     return np.array([len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)], dtype=np.int64)
 
 
-def count_chunk(data: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
-    """Token counts of the texts bounded by offsets."""
-    if not breaks_at_spaces(path):
-        return lengths([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], path)
-    words = split_words(data, offsets, SPACED, lower=False)
-    if not len(words.start):
-        return np.zeros(len(offsets) - 1, np.int64)
-    _, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    counts = np.empty(len(at), np.int64)
-    for i in range(0, len(at), WORDS_AT_ONCE):
-        counts[i : i + WORDS_AT_ONCE] = lengths([words.word(k).decode() for k in at[i : i + WORDS_AT_ONCE]], path)
-    return np.bincount(words.text_of(), weights=counts[back], minlength=len(offsets) - 1).astype(np.int64)
+class Counter:
+    """Token counts of texts; a task's different words are encoded once, as long as no more than HELD are known."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Token counts of the texts bounded by offsets."""
+        if not breaks_at_spaces(self.path):
+            return lengths([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], self.path)
+        words = split_words(data, offsets, SPACED, lower=False)
+        if not len(words.start):
+            return np.zeros(len(offsets) - 1, np.int64)
+        own, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.hashes) > HELD:
+            self.__init__(self.path)
+        new = ~np.isin(own, self.hashes, assume_unique=True)
+        at = at[new]
+        found = [lengths([words.word(k).decode() for k in at[i : i + WORDS_AT_ONCE]], self.path) for i in range(0, len(at), WORDS_AT_ONCE)]
+        hashes, counts = np.concatenate([self.hashes, own[new]]), np.concatenate([self.counts, *found])
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        each = self.counts[np.searchsorted(self.hashes, own)][back]
+        return np.bincount(words.text_of(), weights=each, minlength=len(offsets) - 1).astype(np.int64)
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -81,11 +95,13 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     table gives an empty result. Texts of any length are counted whole.
     """
 
-    def count(batch: pa.RecordBatch):
-        data, offsets, _ = buffers(batch.column(1))
-        counts = np.concatenate([count_chunk(data, offsets[i : j + 1], path) for i, j in chunks(offsets, CHUNK)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+    def count(batches):
+        own = Counter(path)
+        for batch in batches:
+            data, offsets, _ = buffers(batch.column(1))
+            counts = np.concatenate([np.zeros(0, np.int64), *(own.count(data, offsets[i : j + 1]) for i, j in chunks(offsets, CHUNK))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
