@@ -8,12 +8,16 @@ can take it away.
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import loomquery
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; a folder of this machine only without a cluster."""
@@ -29,10 +33,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application: they needn't have it installed."""
+    context = spark.sparkContext
+    root = pathlib.Path(loomquery.__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():  # in an archive, it was shipped to here
+        return
+    local = tempfile.mkdtemp(prefix="loomquery-")
+    atexit.register(shutil.rmtree, local, True)
+    with zipfile.ZipFile(f"{local}/loomquery.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, f"loomquery/{path.relative_to(root)}")
+    context.addPyFile(f"{local}/loomquery.zip")
+    _shipped.add(context.applicationId)
+
+
 class Store:
     """Tables of one run of an operator, in one folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -97,6 +120,7 @@ def over_batches(df: DataFrame, function, schema: str) -> DataFrame:
         finally:
             give_back()
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
