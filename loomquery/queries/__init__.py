@@ -10,6 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def wide(sql: str, *columns: str) -> str:
+    """An oracle whose columns have 64 bits, as the engine's integers have."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in columns)}) FROM ({sql}) AS q"
+
+
 def register(name: str, oracle: str | None = None):
     """Register a (spark, sf_dir) -> DataFrame function under a name."""
 

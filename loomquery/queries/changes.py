@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomquery.queries import register
+from loomquery.queries import register, wide
 from loomquery.session import Session
 
 _NATIONS = "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS n FROM nation"
@@ -23,7 +23,8 @@ def _changed(name: str, oracle: str, *statements: str, result: str = "SELECT id,
             s.sql(statement)
         return s.sql(result)
 
-    register(name, oracle)(run)
+    integers = [c for c in ("id", "n", "key", "c") if c in result.split("FROM")[0].replace(",", " ").split()]
+    register(name, wide(oracle, *integers))(run)
 
 
 _changed("insert_select", f"{_NATIONS} UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region", "INSERT INTO t (id, name) SELECT r_regionkey + 100, r_name FROM region")
@@ -50,7 +51,7 @@ def block_return_query(spark, sf_dir):
     return s.sql("DO $$ BEGIN LET x = (SELECT name FROM t WHERE id = $1); RETURN QUERY SELECT $1 AS id, x AS name; RETURN QUERY SELECT 2, name FROM t WHERE id = 2; END $$", 1)
 
 
-@register("block_rollback", _NATIONS)
+@register("block_rollback", wide(_NATIONS, "id", "n"))
 def block_rollback(spark, sf_dir):
     s = _session(spark, sf_dir)
     try:
@@ -60,7 +61,7 @@ def block_rollback(spark, sf_dir):
     raise AssertionError("the block should have failed")
 
 
-@register("block_transfer", "SELECT 1 AS id, 70 AS balance UNION ALL SELECT 2, 130")
+@register("block_transfer", wide("SELECT 1 AS id, 70 AS balance UNION ALL SELECT 2, 130", "id", "balance"))
 def block_transfer(spark, sf_dir):
     s = Session(spark)
     s.sql("CREATE TABLE a (id INT PRIMARY KEY, balance INT)")
@@ -75,7 +76,7 @@ def explain_plan(spark, sf_dir):
     return lines.selectExpr("bool_or(plan LIKE '%PushedFilters%EqualTo(o_custkey,7)%EqualTo(o_orderstatus,F)%') AS pushed")
 
 
-@register("row_limit_option", "SELECT 5 AS n, true AS refused")
+@register("row_limit_option", wide("SELECT 5 AS n, true AS refused", "n"))
 def row_limit_option(spark, sf_dir):
     s = Session(spark, sf_dir)
     n = s.sql("SELECT r_name FROM region OPTION (sql_motion_row_max = 5)").count()

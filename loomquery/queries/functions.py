@@ -11,7 +11,7 @@ from loomquery.sources.tables import load
 register_sql("string_funcs", """
 SELECT n_name, lower(n_name) AS lo, upper(n_name) AS up, substr(n_name, 2) AS tail, substr(n_name, 2, 3) AS mid, coalesce(NULL, n_name, 'x') AS c,
        n_name || '-' || n_nationkey || '-' || true AS cat FROM nation""")
-register_sql("concat_null", "SELECT 'a' || NULL AS n, 'b' || 1 AS i, 'c' || 1.5 AS d")
+register_sql("concat_null", "SELECT 'a' || NULL AS n, 'b' || 1 AS i, 'c' || 1.5 AS d", "SELECT CAST(NULL AS VARCHAR) AS n, 'b1' AS i, 'c1.5' AS d")
 register_sql("substring_forms", """
 SELECT substring(n_name FROM 2 FOR 3) AS a, substring(n_name, 2, 3) AS b, substring(n_name FOR 4) AS c, substring(n_name FROM 3) AS d, substring(n_name, 2) AS e, n_nationkey FROM nation""", """
 SELECT substring(n_name, 2, 3) AS a, substring(n_name, 2, 3) AS b, substring(n_name, 1, 4) AS c, substring(n_name, 3) AS d, substring(n_name, 2) AS e, n_nationkey FROM nation""")
@@ -36,8 +36,8 @@ register_sql("cast_forms", """
 SELECT CAST(n_nationkey AS TEXT) AS t, n_nationkey::double AS d, CAST('12' AS INT) AS i, 'on'::bool AS y, CAST('off' AS BOOLEAN) AS n,
        to_char('2024-02-03T04:05:06Z'::datetime, '%Y-%m-%d %H:%M:%S') AS iso, to_char('Sat, 03 Feb 2024 04:05:06 +0000'::datetime, '%d.%m.%Y') AS mail,
        'A0EEBC99-9C0B-4EF8-BB6D-6BB9BD380A11'::uuid AS u, (2.7)::int AS f, -1.5::int AS g FROM nation""", """
-SELECT CAST(n_nationkey AS VARCHAR) AS t, n_nationkey::DOUBLE AS d, 12 AS i, true AS y, false AS n, '2024-02-03 04:05:06' AS iso, '03.02.2024' AS mail,
-       'a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11' AS u, 2 AS f, -2 AS g FROM nation""")
+SELECT CAST(n_nationkey AS VARCHAR) AS t, n_nationkey::DOUBLE AS d, 12::BIGINT AS i, true AS y, false AS n, '2024-02-03 04:05:06' AS iso, '03.02.2024' AS mail,
+       'a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11' AS u, 2::BIGINT AS f, -2::BIGINT AS g FROM nation""")
 
 
 @register("functions_api", "SELECT event_id, props ->> '$.k' AS k, strftime(ts, '%Y-%m') AS month, regexp_extract(event_type, '^.*?([aeiou].)', 1) AS part FROM events WHERE regexp_matches(event_type, '^.*?[aeiou].')")

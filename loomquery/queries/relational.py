@@ -20,10 +20,10 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 register_sql("scan_projection", "SELECT o_orderkey AS k, o_totalprice * 2 AS double_price, o_orderstatus FROM orders AS o WHERE o_totalprice > 100000")
 register_sql("scan_subquery", "SELECT s.k, s.n FROM (SELECT n_regionkey AS k, n_name AS n FROM nation) AS s WHERE s.k >= 2")
 register_sql("scan_indexed_by", "SELECT c_custkey FROM customer INDEXED BY customer_pk WHERE c_custkey < 50", "SELECT c_custkey FROM customer WHERE c_custkey < 50")
-register_sql("select_without_scan", "SELECT 1 + 2 AS a, 'x' AS b, count(*) AS c")
+register_sql("select_without_scan", "SELECT 1 + 2 AS a, 'x' AS b, count(*) AS c", "SELECT CAST(1 + 2 AS BIGINT) AS a, 'x' AS b, count(*) AS c")
 register_sql("select_asterisk", "SELECT r.*, n.n_name FROM region AS r JOIN nation AS n ON r.r_regionkey = n.n_regionkey")
 register_sql("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-register_sql("output_names", "SELECT r_regionkey + 1, r_name FROM region", "SELECT r_regionkey + 1 AS col_1, r_name FROM region")
+register_sql("output_names", "SELECT r_regionkey + 1, r_name FROM region", "SELECT CAST(r_regionkey + 1 AS BIGINT) AS col_1, r_name FROM region")
 register_sql("values_source", "SELECT v.a, v.b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS v(a, b)")
 register_sql("values_columns", "VALUES (1, 'a'), (2, 'b')", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(\"COLUMN_1\", \"COLUMN_2\")")
 register_sql("quoted_names", 'SELECT "n_name" AS "Name" FROM nation WHERE "n_nationkey" < 5')
@@ -65,7 +65,7 @@ register_sql("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER B
 register_sql("topk_groups", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
 register_sql("limit_union", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region ORDER BY k LIMIT 12")
 
-register_sql("union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
+register_sql("union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region", "SELECT CAST(n_regionkey AS BIGINT) AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
 register_sql("union_all_nested", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation")
 register_sql("union_all_versions", """
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < to_date('1995-01-01', '%Y-%m-%d') AND o_custkey IN (1, 2, 3, 4, 5)
@@ -78,7 +78,7 @@ register_sql("set_precedence", "SELECT n_nationkey AS k FROM nation EXCEPT SELEC
 register_sql("cte_multi_ref", """
 WITH big AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
 SELECT a.k, round(a.total, 2) AS total FROM big AS a JOIN big AS b ON a.k = b.k WHERE a.total > (SELECT avg(total) * 2 FROM big)""")
-register_sql("cte_columns_values", "WITH c(a, b) AS (VALUES (1, 'x'), (2, 'y')), d(x) AS (SELECT a * 10 FROM c) SELECT c.b, d.x FROM c JOIN d ON d.x = c.a * 10")
+register_sql("cte_columns_values", "WITH c(a, b) AS (VALUES (1, 'x'), (2, 'y')), d(x) AS (SELECT a * 10 FROM c) SELECT c.b, d.x FROM c JOIN d ON d.x = c.a * 10", "SELECT 'x' AS b, 10::BIGINT AS x UNION ALL SELECT 'y', 20")
 
 
 @register("except_replicated", "SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
