@@ -148,8 +148,9 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store,
         sa, sb = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
         yield batch.select([0, 1]).filter(pa.array((sa == sb).sum(axis=1) >= least))
 
-    own = sigs.select("id", "sig")
-    likely = pairs.join(own.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+    own = sigs.select("id", "sig", "n_shingles")
+    likely = pairs.join(own.withColumnsRenamed({"id": "a", "sig": "sa", "n_shingles": "na"}), "a").join(own.withColumnsRenamed({"id": "b", "sig": "sb", "n_shingles": "nb"}), "b")
+    likely = likely.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     likely = store.cut(arrow_map(likely.select("a", "b", "sa", "sb"), alike, f"a {kind}, b {kind}"), "likely")
     texts = _texts_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))), docs, store)
 
@@ -166,9 +167,9 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store,
     return links
 
 
-def _pairs(members: DataFrame, percent: int, leaders: int) -> DataFrame:
-    """Pairs of each bucket's first leaders with the members after them that aren't connected with them and not too unlike in size."""
-    first = members.filter(F.col("rn") <= leaders).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra"), F.col("component").alias("ca"))
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of small buckets that aren't connected and not too unlike in size."""
+    first = members.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra"), F.col("component").alias("ca"))
     met = members.join(first, "key").filter((F.col("rn") > F.col("ra")) & (F.col("component") != F.col("ca")))
     met = met.filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a < b").distinct()
@@ -244,22 +245,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = store.cut(linked.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
 
     reps = linked.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"]).dropDuplicates(["cls", "id"])
-    keyed = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    members = keyed.withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-    members = store.cut(members.select("key", "id", "n", F.col("id").alias("component"), F.row_number().over(bucket.orderBy("id", "n")).alias("rn")), "members")
+    reps = store.cut(reps.select("id", F.col("n_shingles").alias("n"), "keys"), "representatives")
+    keyed = reps.select("id", "n", F.explode("keys").alias("key"))
+    # counted before the rows meet: a bucket of any size is dealt over tasks when it is joined
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("low_id"), F.count("*").alias("size")).filter("size > 1")
+    members = store.cut(keyed.join(buckets, "key"), "members")
     verify = (sigs, docs, store, shingle, percent, bands * rows)
-    links = _verified(_pairs(members, percent, 1), *verify)
+    links = _verified(members.filter("low_id < id").select(F.col("low_id").alias("a"), F.col("id").alias("b")).distinct(), *verify)
     found = store.cut(components(links, store), "components")
 
     # buckets whose members aren't all connected: the rest of their pairs
-    after = members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    after = after.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "size": F.count("*").over(bucket), "low_id": F.min("id").over(bucket)}).filter("low < high")
-    after = store.cut(after.withColumn("rn", F.row_number().over(bucket.orderBy("id", "n"))), "members")
-    store.drop(members)
-    more = _verified(_pairs(after.filter(F.col("size") <= SMALL), percent, SMALL), *verify)
-    blocks = _in_blocks(after.filter(F.col("size") > SMALL), *verify)
-    store.drop(found, after)
+    after = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    after = store.cut(after, "members")
+    store.drop(members, reps)
+    apart = after.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rest = store.cut(after.join(apart, "key"), "members")
+    few = rest.filter(F.col("size") <= SMALL)
+    few = few.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id", "n")))  # at most SMALL rows a key
+    more = _verified(_pairs(few, percent), *verify)
+    blocks = _in_blocks(rest.filter(F.col("size") > SMALL), *verify)
+    store.drop(found, after, rest)
     found = store.cut(components(links.unionByName(more).unionByName(blocks), store), "components")
     rows_ = store.cut(sigs.select("id", "n_shingles", "cls"), "rows")
     store.drop(links, more, blocks, sigs)
