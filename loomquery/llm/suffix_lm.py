@@ -1,23 +1,27 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and one end of text. The root's distribution is
-add-0.1 over all training tokens. A longer context enters the tree if it is
-frequent (``MIN_CONTEXT`` of all tokens) and a divergence test tells its
-next-symbol distribution from that of its longest suffix in the tree. A
-context keeps the symbols whose probability differs, smoothed towards that
-suffix; the mass of the others is the suffix's, rescaled. So every
-distribution sums to one, and a token is scored by the longest suffix of its
-history in the tree.
-
-Counts cover all training tokens and stay distributed. The tree itself is
-bounded by its shares: at most 1 / MIN_CONTEXT contexts a length, each of at
-most 1 / MIN_NEXT symbols; so is the list of words that are counted in place,
-1 / MIN_WORD. Other words' counts are joined to the texts that hold them.
+add-0.1 over all training tokens. A longer context enters the tree if words
+follow it often enough (``LEAST`` times, whatever the corpus' size) and a
+divergence test tells its next-symbol distribution from that of its longest
+suffix in the tree. A context keeps the symbols whose probability differs,
+smoothed towards that suffix; the mass of the others is the suffix's, rescaled.
+So every distribution sums to one, and a token is scored by the longest suffix
+of its history in the tree.
+
+Counts cover all training tokens, and the tree is a table: it grows with the
+corpus and stays distributed. A run of words is one word longer than its
+context, which in turn is the run before it; so a text's log-probability is the
+root's and one addend for each run of it that the tree has (``Tree.nodes``).
+Addends of frequent runs, at most 1 / MIN_WORD a length, are added in place, as
+are frequent words' counts; others are joined to the texts that hold them.
+Filters of bounded size keep runs out of the shuffle that can't be frequent or
+aren't in the tree; what they let through is counted or joined all the same.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import Store, arrow_map, over_batches
-from loomquery.llm._text import SPACED, buffers, chunks, split_words, sums
+from loomquery.llm._text import SPACED, buffers, chunks, mix, split_words, sums
 
 ADD = 0.1
-#: Longest context in words; least shares of a context in all tokens, of a symbol after a context, of a word counted in place.
-DEPTH, MIN_CONTEXT, MIN_NEXT, MIN_WORD = 3, 2e-5, 0.02, 1e-6
+#: Longest context in words; least share in all tokens of a word or run that is counted in place.
+DEPTH, MIN_WORD = 3, 1e-6
 #: A kept symbol occurs this often after its context, with a probability this many times the suffix's or less than its inverse; weight of the suffix.
 LEAST, RATIO, PRIOR = 8, 1.5, 4.0
 #: A context's gain in log-likelihood over its suffix must exceed this many nats, and one half ln(count) more for each symbol it keeps.
 GAIN = 8.0
-#: Hash of the end of a text.
-END = np.uint64(0x0E4D)
-
-_BEFORE = 0  # symbol before a text; symbols of frequent words follow
+#: Bits of a filter for each of its keys, and most bits of a filter.
+KEY_BITS, FILTER_BITS = 12, 1 << 28
+#: Hash of the end of a text, and of what stands before one.
+END, BEFORE = np.uint64(0x0E4D), np.uint64(0xBEF0)
+#: Low bits of a counted run that tell a few of the texts that hold it.
+TAG = np.uint64(8)
+#: Tokens of the corpus to a task that sums up the counts of runs.
+RANGE = 4 << 20
+_STEP = np.uint64(0xA24BAED4963EE407)
 
 
 def _search(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -50,15 +59,26 @@ def _search(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class _Counter:
-    """Counts of 64-bit keys, merged as they come."""
+    """Counts of 64-bit keys, merged as they come; keys that differ in the lowest bits only are one, the least."""
 
-    def __init__(self):
+    def __init__(self, low: np.uint64):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
+        self.low = low
+
+    def firsts(self, keys: np.ndarray) -> np.ndarray:
+        own = keys >> self.low
+        return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.held += len(self.parts[-1][0])
+        keys = np.sort(keys)
+        first = self.firsts(keys)
+        self.put(keys[first], np.diff(np.append(first, len(keys))))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of keys."""
+        self.parts.append((keys, counts))
+        self.held += len(keys)
         if len(self.parts) > 1 and self.held > 2 * len(self.parts[0][0]) + (1 << 20):
             self.merge()
 
@@ -66,7 +86,7 @@ class _Counter:
         keys = np.concatenate([k for k, _ in self.parts])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], np.concatenate([c for _, c in self.parts])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        first = self.firsts(keys)
         self.parts = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
         self.held = len(first)
 
@@ -78,21 +98,74 @@ class _Counter:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(counts[i : i + (1 << 17)].astype(np.int64))], ["key", "n"])
 
 
-def _counted(texts: DataFrame, keys_of, limit: int = 4 << 20) -> DataFrame:
-    """Counts over all rows of the keys that keys_of(data, offsets) gives for a chunk of texts."""
+def _counts(texts: DataFrame, keys_of, low: np.uint64, limit: int = 4 << 20):
+    """A function over batches of texts: counts in each of the keys that keys_of(data, offsets) gives for a chunk of texts, as batches' columns."""
 
     def count(batches):
-        held = _Counter()
+        held = _Counter(low)
         for batch in batches:
             data, offsets, _ = buffers(batch.column(0))
             for i, j in chunks(offsets):
                 held.add(keys_of(data, offsets[i : j + 1]))
                 if held.held > limit:  # more meet in the shuffle
-                    yield from held.batches()
-                    held = _Counter()
-        yield from held.batches()
+                    yield held
+                    held = _Counter(low)
+        yield held
+
+    return count
+
+
+def _counted(texts: DataFrame, keys_of) -> DataFrame:
+    """Counts over all rows of the keys that keys_of(data, offsets) gives for a chunk of texts."""
+    count = _counts(texts, keys_of, np.uint64(0))
+
+    def rows(batches):
+        for held in count(batches):
+            yield from held.batches()
+
+    return over_batches(texts, rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    return over_batches(texts, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+def _frequent(texts: DataFrame, keys_of, total: int) -> DataFrame:
+    """The keys without their TAG bits that occur LEAST times in all rows, with their counts and least tags.
+
+    Most keys are rare, so they are dealt out in blocks: a row holds all of a
+    task for one of parts ranges of keys. A range has RANGE of the corpus'
+    tokens on average, whatever its size.
+    """
+    parts = 1 << max(3, (total // RANGE).bit_length())
+    width = np.uint64(64 - parts.bit_length() + 1)
+    count = _counts(texts, keys_of, TAG)
+
+    def block(batches):
+        for held in count(batches):
+            if not held.parts:
+                continue
+            held.merge()
+            keys, n = held.parts[0]
+            ends = np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << width)
+            ends = np.append(ends, len(keys))
+            full = np.flatnonzero(ends[1:] > ends[:-1])
+            for some in np.array_split(full, max(1, len(full) // 16)):
+                columns = [pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in some], pa.binary()) for x in (keys, n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *columns], ["part", "keys", "n"])
+
+    def meet(batches):
+        held = _Counter(TAG)
+        for batch in batches:
+            for keys, n in zip(batch.column(1), batch.column(2), strict=True):
+                held.put(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int32).astype(np.int64))
+        if held.parts:
+            held.merge()
+            keys, n = held.parts[0]
+            keys, n = keys[n >= LEAST], n[n >= LEAST]
+            for i in range(0, len(keys), 1 << 17):
+                part = keys[i : i + (1 << 17)]
+                tag = part & np.uint64((1 << int(TAG)) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array((part >> TAG).view(np.int64)), pa.array(n[i : i + (1 << 17)]), pa.array(tag.view(np.int64))], ["key", "n", "tag"])
+
+    dealt = over_batches(texts, block, "part int, keys binary, n binary").repartition(parts, "part")
+    return over_batches(dealt, meet, "key long, n long, tag long")
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,215 +178,194 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens, first
 
 
+def _runs(tokens: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
+    """runs[d][i]: key of the d + 1 words that end in token i, what stands before the text counted as one; 0 where there are fewer."""
+    out = [tokens]
+    for d in range(1, depth + 1):
+        before = np.zeros(len(tokens), np.uint64)
+        before[1:] = out[-1][:-1]
+        before[first[:-1]] = BEFORE if d == 1 else 0
+        out.append(np.where(before > 0, mix(before * _STEP + tokens + np.uint64(d)) >> TAG, np.uint64(0)))
+    return out
+
+
+def _shifted(runs: np.ndarray, first: np.ndarray, d: int) -> np.ndarray:
+    """The context of d words before each token, or 0."""
+    before = np.zeros(len(runs), np.uint64)
+    before[1:] = runs[:-1]
+    before[first[:-1]] = BEFORE if d == 1 else 0
+    return before
+
+
+def _places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and bits of each key in a filter of size cells."""
+    h = mix(keys * _STEP + np.uint64(77))
+    bits = np.zeros(len(keys), np.uint64)
+    for k in range(4):
+        bits |= np.uint64(1) << ((h >> np.uint64(40 + 6 * k)) & np.uint64(63))
+    return (h & np.uint64(size - 1)).astype(np.int64), bits
+
+
+def _filter(keys: DataFrame, column: str = "key") -> np.ndarray:
+    """A filter of the keys: cells of 64 bits. It holds all of them, and few others as long as FILTER_BITS do."""
+    count = keys.count()
+    size = 1 << max(4, min(FILTER_BITS, max(1, KEY_BITS * count)).bit_length() - 6)
+
+    def put(batch: pa.RecordBatch):
+        cell, bits = _places(np.asarray(batch.column(0)).view(np.uint64), size)
+        order = np.argsort(cell)
+        cell, bits = cell[order], bits[order]
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        bits = np.bitwise_or.reduceat(bits, new) if len(new) else bits
+        yield pa.RecordBatch.from_arrays([pa.array(cell[new]), pa.array(bits.view(np.int64))], ["cell", "bits"])
+
+    cells = arrow_map(keys.select(column), put, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _holds(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at, bits = _places(keys, len(cells))
+    return (cells[at] & bits) == bits
+
+
 @dataclass
 class Tree:
-    """Contexts by length, and what the kept ones predict.
+    """The root and the tree over it.
 
-    words and counts: the words counted in place, by hash; symbol: the symbol
-    of each that is frequent enough for contexts, or -1. levels[d]: sorted keys
-    (context of d words, symbol) of the contexts of d + 1 words, d >= 1.
+    words and counts: the words counted in place, by hash. nodes: for each run
+    in the tree, what it adds to the log10 probability of its last word (entry)
+    and, as a context, of any word that follows (alpha). keys, entry and alpha:
+    the nodes added in place. held: a filter of all nodes.
     """
 
     words: np.ndarray
     counts: np.ndarray
-    symbol: np.ndarray
-    symbols: int
-    total: int = 0
-    kinds: int = 0
-    levels: list[np.ndarray] = field(default_factory=list)
-    nodes: list[np.ndarray] = field(default_factory=list)
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    alpha: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def sequence(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in words, own symbol, symbol before) of each token."""
-        at = _search(self.words, tokens)
-        own = np.where(at >= 0, self.symbol[at], -1) if len(self.words) else at
-        before = np.full(len(own), -1, np.int64)
-        before[1:] = own[:-1]
-        before[first[:-1]] = _BEFORE
-        return at, own, before
-
-    def contexts(self, before: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each length, the context before each token, or -1."""
-        found = [before]
-        starts = np.zeros(len(before), bool)
-        starts[first[:-1]] = True
-        for level in self.levels:
-            earlier = np.full(len(before), -1, np.int64)
-            earlier[1:] = found[-1][:-1]
-            earlier[starts] = -1
-            own = np.full(len(before), -1, np.int64)
-            ok = (earlier >= 0) & (before >= 0)
-            own[ok] = _search(level, earlier[ok] * self.symbols + before[ok])
-            found.append(own)
-        return found
+    total: int
+    kinds: int
+    depth: int
+    keys: np.ndarray
+    entry: np.ndarray
+    alpha: np.ndarray
+    held: np.ndarray
+    start: float
+    nodes: DataFrame | None
 
     def gains(self, data: np.ndarray, offsets: np.ndarray):
-        """The tokens of the texts, and what contexts add to each token's log10 probability."""
+        """The tokens of a few texts, and what the tree adds to each token's log10 probability."""
         tokens, first = _words(data, offsets)
-        at, own, before = self.sequence(tokens, first)
-        node = np.full(len(tokens), -1, np.int64)
-        for place, index in zip(self.contexts(before, first), self.nodes, strict=False):
-            ok = place >= 0
-            here = index[place[ok]]
-            node[np.flatnonzero(ok)[here >= 0]] = here[here >= 0]
+        runs = _runs(tokens, first, self.depth)
+        keys, entry, alpha = self.keys, self.entry, self.alpha
+        asked = np.unique(np.concatenate(runs))
+        asked = asked[_holds(self.held, asked) & (_search(keys, asked) < 0)]
+        if len(asked) and self.total * MIN_WORD > LEAST:  # else all nodes are in place
+            more = self.nodes.filter(F.col("key").isin(asked.view(np.int64).tolist())).toPandas()
+            keys = np.concatenate([keys, more["key"].to_numpy(np.int64).view(np.uint64)])
+            order = np.argsort(keys)
+            keys, entry, alpha = keys[order], np.concatenate([entry, more["entry"]])[order], np.concatenate([alpha, more["alpha"]])[order]
         gain = np.zeros(len(tokens))
-        todo = np.flatnonzero(node >= 0)
-        while len(todo):
-            now, sym = node[todo], own[todo]
-            hit = np.where(sym >= 0, _search(self.keys, now * self.symbols + sym), -1)
-            gain[todo] += np.where(hit >= 0, self.logs[hit] if len(self.logs) else 0.0, self.alpha[now])
-            node[todo] = np.where(hit >= 0, -1, self.parent[now])
-            todo = todo[node[todo] >= 0]
-        return tokens, first, at, gain
-
-
-def _grow(tree: Tree, depth: int, counts: list[dict[int, dict[int, int]]], context_counts: list[dict[int, int]]) -> None:
-    """Keep the contexts that pass the divergence test, shortest first, and lay the tree out in arrays."""
-    denominator = tree.total + ADD * (tree.kinds + 1)
-    root = {int(s): (c + ADD) / denominator for s, c in zip(tree.symbol.tolist(), tree.counts.tolist(), strict=True) if s >= 0}
-    kept: dict[tuple[int, int], dict[int, float]] = {}
-    scale: dict[tuple[int, int], float] = {}
-    suffix = _suffixes(tree)
-
-    def state(length: int, index: int) -> tuple[int, int] | None:
-        """The longest suffix in the tree, itself excluded."""
-        while length > 1:
-            index = suffix[length][index]
-            length -= 1
-            if (length, index) in kept:
-                return length, index
-        return None
-
-    def probability(node, symbol: int) -> float:
-        weight = 1.0
-        while node is not None:
-            if symbol in kept[node]:
-                return weight * kept[node][symbol]
-            weight *= scale[node]
-            node = state(*node)
-        return weight * root[symbol]
-
-    for length in range(1, depth + 1):
-        for index, total in context_counts[length].items():
-            up = state(length, index)
-            own: dict[int, float] = {}
-            for symbol, n in counts[length].get(index, {}).items():
-                if n < LEAST or n < MIN_NEXT * total:
-                    continue
-                above = probability(up, symbol)
-                ratio = n / total / above
-                if ratio >= RATIO or ratio <= 1 / RATIO:
-                    own[symbol] = (n, above)
-            if not own:
-                continue
-            smooth = {s: (n + PRIOR * q) / (total + PRIOR) for s, (n, q) in own.items()}
-            rest, above_rest = 1 - sum(smooth.values()), 1 - sum(q for _, q in own.values())
-            if rest <= 0 or above_rest <= 0:
-                continue
-            others = max(0, total - sum(n for n, _ in own.values()))
-            gain = sum(n * np.log(smooth[s] / q) for s, (n, q) in own.items()) + others * np.log(rest / above_rest)
-            if gain > GAIN + 0.5 * np.log(total) * len(own):
-                kept[length, index] = smooth
-                scale[length, index] = rest / above_rest
-    order = {node: i for i, node in enumerate(sorted(kept))}
-    sizes = [tree.symbols, *(len(level) for level in tree.levels)]
-    tree.nodes = [np.full(n, -1, np.int64) for n in sizes]
-    tree.parent, tree.alpha = np.full(len(order), -1, np.int64), np.zeros(len(order))
-    entries = []
-    for node, i in order.items():
-        tree.nodes[node[0] - 1][node[1]] = i
-        up = state(*node)
-        tree.parent[i] = -1 if up is None else order[up]
-        tree.alpha[i] = np.log10(scale[node])
-        entries += [(i * tree.symbols + s, np.log10(p / root[s])) for s, p in kept[node].items()]
-    entries.sort()
-    tree.keys = np.array([k for k, _ in entries], np.int64)
-    tree.logs = np.array([v for _, v in entries], float)
-
-
-def _suffixes(tree: Tree) -> list:
-    """suffix[length][i]: the context of one word less that context i of a length ends in."""
-    out: list = [None, None]
-    tables = tree.levels
-    for length in range(2, len(tables) + 2):
-        level = tables[length - 2]
-        earlier, last = level // tree.symbols, level % tree.symbols
-        if length == 2:
-            out.append(last.tolist())
-        else:
-            shorter = np.array(out[length - 1])[earlier]
-            out.append(_search(tables[length - 3], shorter * tree.symbols + last).tolist())
-    return out
+        for d, run in enumerate(runs):
+            at = _search(keys, run)
+            gain += np.where(at >= 0, entry[at], 0.0) if len(keys) else 0.0
+            if d < self.depth:
+                at = _search(keys, _shifted(run, first, d + 1))
+                gain += np.where(at >= 0, alpha[at], 0.0) if len(keys) else 0.0
+        gain[first[:-1]] += 0.0 if _search(keys, np.array([BEFORE]))[0] >= 0 else self.start
+        return tokens, first, _search(self.words, tokens), gain
+
+
+def _grow(named: DataFrame, level: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(key, n, p, entry) of the runs, and (key, n, alpha) of the contexts that pass the divergence test, from the runs one word shorter (key, n, p)."""
+    joined = named.join(level.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx").join(level.select(F.col("key").alias("suffix"), F.col("p").alias("above")), "suffix")
+    ratio = F.col("n") / F.col("total") / F.col("above")
+    joined = joined.withColumn("own", (ratio >= RATIO) | (ratio <= 1 / RATIO)).withColumn("smooth", (F.col("n") + PRIOR * F.col("above")) / (F.col("total") + PRIOR))
+    joined = store.cut(joined.select("key", "n", "ctx", "total", "above", "own", "smooth"), "runs")
+    tried = joined.filter("own").groupBy("ctx").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.sum("above").alias("above"), F.count("*").alias("symbols"), F.sum(F.col("n") * F.log(F.col("smooth") / F.col("above"))).alias("gain"))
+    others = F.greatest(F.lit(0), F.col("total") - F.col("n"))
+    tried = tried.filter("above < 1 - 1e-9").withColumn("scale", (others + PRIOR * (1 - F.col("above"))) / (F.col("total") + PRIOR) / (1 - F.col("above")))
+    passed = F.col("gain") + others * F.log("scale") > GAIN + 0.5 * F.log("total") * F.col("symbols")
+    kept = store.cut(tried.filter(passed).select("ctx", "total", "scale"), "contexts")
+    rows = joined.join(kept.select("ctx", "scale"), "ctx", "left")
+    inside = F.col("scale").isNotNull()
+    p = F.when(inside & F.col("own"), F.col("smooth")).when(inside, F.col("scale") * F.col("above")).otherwise(F.col("above"))
+    entry = F.when(inside & F.col("own"), F.log10(F.col("smooth") / F.col("above")) - F.log10("scale"))
+    out = store.cut(rows.select("key", "n", p.alias("p"), entry.alias("entry")), "level")
+    store.drop(joined)
+    return out, kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), F.log10("scale").alias("alpha"))
 
 
 def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree of all rows of df (a null text is empty), and the table of all words' counts (key, n)."""
+    context = df.sparkSession.sparkContext
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = store.cut(_counted(texts, lambda data, offsets: _words(data, offsets)[0]), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.filter(F.col("n") >= MIN_WORD * total).toPandas()  # at most 1 / MIN_WORD rows
-    hashes = common["key"].to_numpy(np.int64).view(np.uint64)
+    common = counts.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows
+    hashes = common["key"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    hashes, n = hashes[order], common["n"].to_numpy(np.int64)[order]
-    often = (n >= MIN_CONTEXT * total) & (n >= LEAST)
-    symbol = np.where(often, np.cumsum(often), -1).astype(np.int64)  # 0 stands before a text
-    tree = Tree(hashes, n, symbol, int(often.sum()) + 1, int(total), int(kinds))
-
-    texts_count = int(n[hashes == END].sum())
-    own_counts = np.zeros(tree.symbols, np.int64)
-    own_counts[symbol[often]] = n[often]
-    end = symbol[hashes == END]
-    context_counts: list[dict[int, int]] = [{}, {int(s): int(c) for s, c in enumerate(own_counts) if s and s not in end}]
-    if texts_count >= MIN_CONTEXT * total:
-        context_counts[1][_BEFORE] = texts_count
-    found: list[dict[int, dict[int, int]]] = [{}]
-    for length in range(1, depth + 1):
-        sizes = np.zeros(max(context_counts[length], default=-1) + 1, np.int64)
-        sizes[list(context_counts[length])] = list(context_counts[length].values())
-        shared = df.sparkSession.sparkContext.broadcast((tree, own_counts, sizes))
-
-        def keys_of(data, offsets, shared=shared):
-            own_tree, symbol_counts, least = shared.value
+    hashes, n = hashes[order], common["n"].to_numpy()[order]
+
+    denominator = total + ADD * (kinds + 1)
+    # as many texts end as begin
+    edge = counts.filter(F.col("key") == int(END)).select(F.lit(int(BEFORE)).cast("long").alias("key"), "n")
+    level = counts.filter(F.col("n") >= LEAST).unionByName(edge).select("key", "n", ((F.col("n") + ADD) / denominator).alias("p"))
+    filters = [_filter(level)]
+    tables, tagged = [], []
+    for d in range(1, depth + 1):
+        shared = context.broadcast(filters[-1])
+
+        def keys_of(data, offsets, shared=shared, d=d):
             tokens, first = _words(data, offsets)
-            _, own, before = own_tree.sequence(tokens, first)
-            context = own_tree.contexts(before, first)[-1]
-            ok = (context >= 0) & (own > 0)
-            context, own = context[ok], own[ok]
-            # no symbol follows a context oftener than it occurs
-            ok = symbol_counts[own] >= MIN_NEXT * least[np.minimum(context, len(least) - 1)] if len(least) else np.zeros(len(own), bool)
-            return (context[ok] * own_tree.symbols + own[ok]).view(np.uint64)
-
-        pairs = _counted(texts, keys_of).filter(F.col("n") >= LEAST)
-        sized = df.sparkSession.sparkContext.broadcast(sizes)
-        width = tree.symbols
-
-        def heavy(batch: pa.RecordBatch, sized=sized, width=width):
-            key, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            at = sized.value[key // width]
-            yield batch.filter(pa.array((n >= MIN_NEXT * at) & (at > 0)))
-
-        table = store.cut(pairs, "pairs")
-        after: dict[int, dict[int, int]] = {}
-        for k, n_ in arrow_map(table, heavy, "key long, n long").toPandas().itertuples(index=False):  # at most 1 / MIN_NEXT a context
-            after.setdefault(int(k) // width, {})[int(k) % width] = int(n_)
-        found.append(after)
-        if length < depth:
-            longer = table.filter(F.col("n") >= MIN_CONTEXT * total).toPandas().sort_values("key")  # at most 1 / MIN_CONTEXT rows
-            longer = longer[longer["key"] % width != (int(end[0]) if len(end) else -1)]
-            level = longer["key"].to_numpy(np.int64)
-            tree.levels.append(level)
-            if length >= 2:  # a context whose own suffix isn't one can't be placed in the tree
-                fits = np.array(_suffixes(tree)[length + 1], np.int64) >= 0
-                tree.levels[-1] = level = level[fits] if len(level) else level
-                longer = longer[fits] if len(fits) else longer
-            context_counts.append({i: int(c) for i, c in enumerate(longer["n"])})
-        store.drop(table)
-    _grow(tree, depth, found, context_counts)
-    return tree, counts
+            runs = _runs(tokens, first, d)
+            # no run is more frequent than the shorter runs in it
+            ok = (runs[d] > 0) & _holds(shared.value, runs[d - 1])
+            ok &= _holds(shared.value, _shifted(runs[d - 1], first, d))
+            return (runs[d][ok] << TAG) | np.repeat(_tags(tokens, first), np.diff(first))[ok]
+
+        table = store.cut(_frequent(texts, keys_of, total), "counts")
+        shared.unpersist()
+        tables.append(table)
+        filters.append(_filter(table))
+        tagged.append(_filter(table.select((F.shiftleft("key", int(TAG)).bitwiseOR(F.col("tag"))).alias("key"))))
+    shared = context.broadcast((filters, tagged))
+
+    def name(batch: pa.RecordBatch):
+        """The frequent runs of the texts that are to tell their parts: context, and the run without its first word."""
+        filters, tagged = shared.value
+        data, offsets, _ = buffers(batch.column(0))
+        for i, j in chunks(offsets):
+            tokens, first = _words(data, offsets[i : j + 1])
+            runs = _runs(tokens, first, depth)
+            tag = np.repeat(_tags(tokens, first), np.diff(first))
+            for d in range(1, depth + 1):
+                at = np.flatnonzero((runs[d] > 0) & _holds(filters[d], runs[d]))
+                at = at[_holds(tagged[d - 1], (runs[d][at] << TAG) | tag[at])]
+                key, once = np.unique(runs[d][at], return_index=True)
+                at = at[once]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, _shifted(runs[d - 1], first, d)[at], runs[d - 1][at]))], ["d", "key", "ctx", "suffix"])
+
+    names = store.cut(arrow_map(texts, name, "d int, key long, ctx long, suffix long").dropDuplicates(["d", "key"]), "names")
+    parts = []
+    for d, table in enumerate(tables, 1):
+        level, kept = _grow(table.select("key", "n").join(names.filter(F.col("d") == d).drop("d"), "key"), level, store)
+        parts += [level.filter("entry IS NOT NULL").select("key", "n", "entry", F.lit(0.0).alias("alpha")), kept.select("key", "n", F.lit(0.0).alias("entry"), "alpha")]
+    nodes = parts[0]
+    for part in parts[1:]:
+        nodes = nodes.unionByName(part)
+    nodes = store.cut(nodes.groupBy("key").agg(F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("alpha").alias("alpha")), "nodes")
+    store.drop(names, *tables)
+    start = nodes.filter(F.col("key") == int(BEFORE)).agg(F.coalesce(F.sum("alpha"), F.lit(0.0))).first()[0]
+    place = nodes.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows a length
+    keys = place["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    values = [place[c].to_numpy()[order] for c in ("entry", "alpha")]
+    return Tree(hashes, n, int(total), int(kinds), depth, keys[order], *values, _filter(nodes), float(start), nodes), counts
+
+
+def _tags(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A few bits for each text, the same for equal texts."""
+    return mix(np.add.reduceat(tokens, first[:-1])) >> (np.uint64(64) - TAG) if len(first) > 1 else np.zeros(0, np.uint64)
 
 
 def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str, text_col: str = "text") -> DataFrame:
@@ -324,25 +376,37 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
     one token. Repeated rows each give a row. Without training tokens every
     token has probability 1 / 1 by the root of one kind.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tree)
+    shared = df.sparkSession.sparkContext.broadcast(replace(tree, nodes=None))
     rows = df.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     kept = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def measure(batch: pa.RecordBatch):
         own = shared.value
         logs = np.log10(own.counts + ADD)
+        values = own.entry + own.alpha
         data, offsets, _ = buffers(batch.column(1 + len(keep)))
         out = [[] for _ in range(4)]
         rare, times, lens = [], [], []
         for i, j in chunks(offsets):
-            tokens, first, at, gain = own.gains(data, offsets[i : j + 1])
+            tokens, first = _words(data, offsets[i : j + 1])
+            at = _search(own.words, tokens)
             known = at >= 0
             out[0].append(np.diff(first))
             out[1].append(sums(known.astype(np.int64), first))
             out[2].append(np.add.reduceat(np.where(known, logs[at] if len(logs) else 0.0, 0.0), first[:-1]))
-            out[3].append(np.add.reduceat(gain, first[:-1]))
-            text = np.repeat(np.arange(j - i), np.diff(first))[~known]
-            other = tokens[~known]
+            text_of = np.repeat(np.arange(j - i), np.diff(first))
+            text, other = [text_of[~known]], [tokens[~known]]
+            gain = np.full(j - i, own.start)
+            for d, run in enumerate(_runs(tokens, first, own.depth)):
+                maybe = np.flatnonzero((run > 0) & _holds(own.held, run))
+                here = _search(own.keys, run[maybe])
+                found = here >= 0
+                gain += np.bincount(text_of[maybe[found]], values[here[found]], j - i)
+                if d:  # words that aren't counted in place are there already
+                    text.append(text_of[maybe[~found]])
+                    other.append(run[maybe[~found]])
+            out[3].append(gain)
+            text, other = np.concatenate(text), np.concatenate(other)
             order = np.lexsort((other, text))
             text, other = text[order], other[order]
             new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (other[1:] != other[:-1])])) if len(text) else np.zeros(0, np.int64)
@@ -357,9 +421,11 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
     measured = arrow_map(rows, measure, ", ".join(["uid long", *kept, "n_tokens long, n_common long, logs double, gain double, rare array<long>, times array<int>"]))
     measured = store.cut(measured, "measured")
     others = measured.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    known = others.join(counts.filter(F.col("n") < MIN_WORD * tree.total), "key")
-    summed = known.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + ADD)).alias("more"), F.sum("times").alias("n_rare"))
-    out = measured.drop("rare", "times").join(summed, "uid", "left").na.fill(0, ["n_rare"]).na.fill(0.0, ["more"])
+    bound = MIN_WORD * tree.total
+    addends = counts.filter(F.col("n") < bound).select("key", F.log10(F.col("n") + ADD).alias("base"), F.lit(0.0).alias("value")).unionByName(tree.nodes.filter(F.col("n") < bound).select("key", F.lit(None).cast("double").alias("base"), (F.col("entry") + F.col("alpha")).alias("value")))
+    known = others.join(addends, "key")
+    summed = known.groupBy("uid").agg(F.sum(F.col("times") * F.col("base")).alias("more"), F.sum(F.when(F.col("base").isNotNull(), F.col("times"))).alias("n_rare"), F.sum(F.col("times") * F.col("value")).alias("added"))
+    out = measured.drop("rare", "times").join(summed, "uid", "left").na.fill(0, ["n_rare"]).na.fill(0.0, ["more", "added"])
     n_known = F.col("n_common") + F.col("n_rare")
     base = F.col("logs") + F.col("more") + (F.col("n_tokens") - n_known) * float(np.log10(ADD)) - F.col("n_tokens") * float(np.log10(tree.total + ADD * (tree.kinds + 1)))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", n_known.alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", n_known.alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.col("added")).alias("score"))

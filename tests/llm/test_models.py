@@ -128,3 +128,26 @@ def test_filters_hold_more_than_64_languages():
             masks[i // 64][at] |= np.uint64(1 << (i % 64))
     counts = langid.Filters(names, masks, 3).counts(gram, np.arange(71))
     assert (counts.argmax(axis=1) == np.arange(70)).all()
+
+
+def test_tree_grows_with_the_corpus(spark):
+    contexts = {}
+    for size in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").withColumn("held_out", registry.held_out(10))
+        tree, _ = suffix_lm.train(docs.filter("NOT held_out"), Store(spark, "test"))
+        contexts[size] = tree.nodes.filter("alpha <> 0").count()
+    assert contexts["sf0.1"] > 10 * contexts["sf0.01"]  # ten times the tokens; by shares of all tokens it was 4
+
+
+def test_nodes_that_are_joined_add_what_nodes_in_place_do(spark, monkeypatch):
+    rows = [(i, prose(i, 80) + " alpha beta gamma delta epsilon " + prose(i + 500, 40)) for i in range(300)]
+    df, store = frame(spark, rows), Store(spark, "test")
+    scores = []
+    for share in (1e-6, 0.01):  # with the second, only the most frequent nodes are in place
+        monkeypatch.setattr(suffix_lm, "MIN_WORD", share)
+        tree, counts = suffix_lm.train(df, store)
+        got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, counts, store, "doc_id").collect()}
+        data = np.frombuffer(rows[7][1].encode(), np.uint8)
+        gain = tree.gains(data, np.array([0, len(data)]))[3].sum()
+        scores.append([got[i] for i, _ in rows] + [gain])
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
