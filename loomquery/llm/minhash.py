@@ -227,6 +227,14 @@ def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Stor
     return links
 
 
+def _by_ids(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the representatives of all classes that an id belongs to."""
+    several = linked.groupBy("id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("id")
+    reps = linked.select("id", "cls").join(several, "id").distinct().join(classes, "cls")
+    least = reps.groupBy("id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable by links), kept (id = component_id).
 
@@ -265,7 +273,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _verified(_pairs(few, percent), *verify)
     blocks = _in_blocks(rest.filter(F.col("size") > SMALL), *verify)
     store.drop(found, after, rest)
-    found = store.cut(components(links.unionByName(more).unionByName(blocks), store), "components")
+    shared = _by_ids(linked, classes)
+    found = store.cut(components(links.unionByName(more).unionByName(blocks).unionByName(shared), store), "components")
     rows_ = store.cut(sigs.select("id", "n_shingles", "cls"), "rows")
     store.drop(links, more, blocks, sigs)
 

@@ -83,3 +83,12 @@ def test_components(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), Store(spark, "test")).collect()}
     assert got == {(x, top(x)) for a, b in links if a is not None and a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long"), Store(spark, "test")).count() == 0
+
+
+def test_ids_with_different_texts(spark):
+    a, b, c, d = (prose(900 + i, 60) for i in range(4))
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, c), (9, d), (9, c), (10, d), (11, prose(990, 60))]
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 11)} and len(got) == len(rows)
+    kept = minhash.keep_one(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 9, 9, 9, 11]
