@@ -1,9 +1,9 @@
 """Language identification by language-bitmask n-gram filters.
 
-Byte 4-grams that make up at least ``share`` of a language's training n-grams
-belong to that language (so a language has at most 1 / share of them). They go
-into bit-sliced Bloom filters: every slot is a bitmask of languages, so one
-probe of an n-gram returns all languages containing it. A text's popcounts per
+All byte 4-grams of a language's training texts belong to that language. They
+go into bit-sliced Bloom filters, sized by their counted number: every slot is
+a bitmask of languages, so one probe of an n-gram returns all languages
+containing it. A text's popcounts per
 language are corrected for the false positives that each language's fill
 brings about; the largest corrected count decides.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loomquery.llm._store import Store, arrow_map, over_batches
 from loomquery.llm._text import buffers, chunks, mix, sums
 
-#: Slots of the filters, probes per n-gram, and the share that makes an n-gram a language's own.
-SLOTS, PROBES, SHARE = 1 << 18, 3, 2e-5
+#: Least slots of the filters, slots for each n-gram of the language with most, probes per n-gram.
+SLOTS, ROOM, PROBES = 1 << 18, 8, 3
 NONE = "und"
 
 #: ASCII letters lowered, bytes beyond ASCII as they are, all else a space.
@@ -87,11 +87,12 @@ class Filters:
         return out
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = SHARE, slots: int = SLOTS, probes: int = PROBES) -> Filters:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", slots: int = SLOTS, probes: int = PROBES) -> Filters:
     """Filters of every non-null language in df, from all its rows.
 
     Null and empty texts add nothing. What reaches the driver is bounded by
-    the number of slots, not by the rows.
+    the number of slots, not by the rows; slots follow the number of different
+    n-grams, which four bytes bound.
     """
     spark = df.sparkSession
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -124,19 +125,20 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     counts = over_batches(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     store = Store(spark, "langid")
     counts = store.cut(counts, "counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
-    langs = [r[0] for r in totals.select("lang").orderBy("lang").collect()]
+    kinds = counts.groupBy("lang").agg(F.count("*").alias("kinds")).orderBy("lang").collect()  # a row for each language
+    langs = [r.lang for r in kinds]
+    slots = max(slots, 1 << (ROOM * max((r.kinds for r in kinds), default=1) - 1).bit_length())
     masks = np.zeros((max(1, -(-len(langs) // 64)), slots), np.uint64)
     if langs:
         code = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
-        own = counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * share).select("gram", code[F.col("lang")].alias("code"))
+        own = counts.select("gram", code[F.col("lang")].alias("code"))
 
         def place(batch: pa.RecordBatch):
             gram, code = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             at = _slots(gram, slots, probes)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(code // 64, probes)), pa.array((np.uint64(1) << (np.tile(code, probes) % 64).astype(np.uint64)).view(np.int64))], ["slot", "word", "mask"])
 
-        sliced = arrow_map(own, place, "slot long, word int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most slots rows a word
+        sliced = arrow_map(own, place, "slot long, word int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most slots rows a word
         masks[sliced["word"].to_numpy(), sliced["slot"].to_numpy()] = sliced["mask"].to_numpy().view(np.uint64)
     store.drop(counts)
     return Filters(langs, masks, probes)

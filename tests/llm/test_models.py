@@ -151,3 +151,13 @@ def test_nodes_that_are_joined_add_what_nodes_in_place_do(spark, monkeypatch):
         gain = tree.gains(data, np.array([0, len(data)]))[3].sum()
         scores.append([got[i] for i, _ in rows] + [gain])
     assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+
+
+def test_filters_hold_every_ngram(spark):
+    rows = [(i, prose(i, 400), "en") for i in range(40)] + [(98, "qzxv", "en"), (99, "wkjp", "de")]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    data = np.frombuffer("".join(t for _, t, x in rows if x == "en").encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for _, t, x in rows if x == "en"])
+    gram, _ = langid.grams(data, offsets)
+    at = langid._slots(gram, filters.masks.shape[1], filters.probes)
+    assert all(((filters.masks[0][a] >> np.uint64(filters.langs.index("en"))) & np.uint64(1)).all() for a in at)
