@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import Store, arrow_map, give_back
-from loomquery.llm._text import SPACED, buffers, chunks, mix, split_words, window_hashes
+from loomquery.llm._text import SPACED, buffers, chunks, distinct, mix, split_words, window_keys
 from loomquery.llm.components import components
 
 #: At a similarity of 0.8, 48 bands of 6 minima miss a pair once in 2 million.
@@ -42,17 +42,15 @@ _KEYS = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
-    """Each text's words (joined) and sorted set of shingle hashes; a text of fewer words is one shingle."""
+    """Each text's words (joined) and set of shingles, as two rows of 128-bit values' halves; a text of fewer words is one shingle."""
     words = split_words(data, offsets, SPACED)
-    h = words.hashes()
-    grams = window_hashes(h, size)
+    first, second = words.keys()
+    x, y = window_keys(first, second, size)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if a == b:
-            yield words, a, b, grams[:0]
-        elif b - a < size:
-            yield words, a, b, window_hashes(h[a:b], b - a)
+        if b - a < size:
+            yield words, a, b, np.stack(window_keys(first[a:b], second[a:b], b - a) if a < b else (x[:0], y[:0]))
         else:
-            yield words, a, b, np.unique(grams[a : b - size + 1])
+            yield words, a, b, np.stack(distinct(x[a : b - size + 1], y[a : b - size + 1]))
 
 
 def minima(grams: np.ndarray, count: int) -> np.ndarray:
@@ -78,13 +76,13 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         n, cls, keys, sig = [], [], [], []
         for i, j in chunks(offsets):
             for words, a, b, grams in shingle_sets(data, offsets[i : j + 1], size):
-                n.append(len(grams))
-                if not len(grams):
+                n.append(grams.shape[1])
+                if not grams.shape[1]:
                     cls.append(None)
                     keys.append(np.zeros(0, np.int64))
                     sig.append(b"")
                     continue
-                mins = minima(grams, bands * rows)
+                mins = minima(grams[0], bands * rows)
                 cls.append(_class(words, a, b))
                 keys.append(band_keys(mins, bands, rows).view(np.int64))
                 sig.append(mins.astype(np.uint16).tobytes())
@@ -132,11 +130,23 @@ def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return [s[3] for i, j in chunks(offsets) for s in shingle_sets(data, offsets[i : j + 1], size)]
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sets share."""
+    both = np.concatenate([x, y], axis=1)
+    order = np.argsort(both[0], kind="stable")
+    same, equal = (h[1:] == h[:-1] for h in both[:, order])
+    if (same & ~equal).any():  # halves are equal where values aren't
+        order = np.lexsort((both[1], both[0]))
+        same, equal = (h[1:] == h[:-1] for h in both[:, order])
+    return int((same & equal).sum())
+
+
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+    n, m = x.shape[1], y.shape[1]
+    if min(n, m) * 100 < percent * max(n, m):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    both = _shared(x, y)
+    return 100 * both >= percent * (n + m - both)
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Store, size: int, percent: int, minima_count: int) -> DataFrame:
@@ -200,7 +210,7 @@ def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Stor
         ids, labels_, block = (table.column(c).to_pylist() for c in ("id", "label", "block"))
         sets = _sets(table.column("text").combine_chunks(), size)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        n = np.array([len(x) for x in sets])
+        n = np.array([x.shape[1] for x in sets])
         block = np.array(block)
         up = {x: x for x in labels_}
 

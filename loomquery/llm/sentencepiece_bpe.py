@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import arrow_map, over_batches
-from loomquery.llm._text import _BASE, _BYTE, _INVERSE, _power, buffers, chunks, mix, sums
+from loomquery.llm._text import Known, buffers, chunks, grouped, keys_of, sums
 
 SPACE = "▁"
 #: Bytes of units that one suffix array indexes, and ids of known units that a task holds.
@@ -34,7 +34,7 @@ BLOCK, HELD = 1 << 18, 4 << 20
 RETURNED = 8 << 20
 #: Ids that are spelled at once, and bits of the table of pairs of pieces that were asked for.
 SPELLED, ANSWERS = 1 << 17, 19
-_SEPARATOR = 0xFE
+_SEPARATOR, _SPREAD = 0xFE, np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -133,7 +133,7 @@ class Vocabulary:
     def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the encoding of two pieces' text is just the two, for each pair. Answers are kept in a table of fixed size."""
         key = a.astype(np.int64) << 20 | b
-        slot = ((key.astype(np.uint64) * np.uint64(_INVERSE)) >> np.uint64(64 - ANSWERS)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - ANSWERS)).astype(np.int64)
         todo = self.asked[slot] != key
         out = self.answer[slot]
         if todo.any():
@@ -196,9 +196,9 @@ class Vocabulary:
         # back from the end of every unit
         width = np.array([*map(len, self.pieces), 0])
         at, unit = bounds[:-1] + size, np.arange(len(units))
-        special = np.array([u.startswith(b"  ") for u in units])  # runs of spaces are of one rank: merged as they come
+        special = np.zeros(len(units), bool)  # with characters that have no piece
         trail: list = []
-        unit = unit[~special & (size > 0)]
+        unit = unit[size > 0]
         while len(unit):
             own = last[at[unit]]
             odd = own >= other
@@ -217,17 +217,15 @@ class Vocabulary:
         else:
             of, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if special.any():
-            alone = {k: self._backwards(text, last, int(bounds[k]), int(bounds[k] + size[k]), width, units[k]) for k in np.flatnonzero(special).tolist()}
+            alone = {k: self._backwards(text, last, int(bounds[k]), int(bounds[k] + size[k]), width) for k in np.flatnonzero(special).tolist()}
             of = np.concatenate([of, np.repeat(list(alone), [len(x) for x in alone.values()])]).astype(np.int64)
             ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(alone.values()), np.int64)])
             order = np.argsort(of, kind="stable")
             of, ids = of[order], ids[order]
         return ids.astype(np.int32), np.bincount(of, minlength=len(units)).astype(np.int64)
 
-    def _backwards(self, text: np.ndarray, last: np.ndarray, begin: int, at: int, width: np.ndarray, unit: bytes) -> list[int]:
-        """The ids of a unit that holds characters without a piece or begins in several spaces."""
-        if unit.startswith(b"  "):
-            return self.encode_merging(unit)
+    def _backwards(self, text: np.ndarray, last: np.ndarray, begin: int, at: int, width: np.ndarray) -> list[int]:
+        """The ids of a unit that holds characters without a piece."""
         ids: list[int] = []
         while at > begin:
             t = int(last[at])
@@ -244,30 +242,21 @@ class Vocabulary:
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of every occurrence of every reachable piece, and of characters without one (piece: the number of pieces)."""
-        array, first, second = suffix_array(text)
-        lows, highs, names = [], [], []
-        ids, lengths, low1, high1, low2, high2 = self._searched()
-        # the first 8 bytes, and for longer pieces the next 8 within the range of the first
-        short = lengths <= 8
-        low, high = np.searchsorted(first, low1), np.searchsorted(first, high1, "right")
-        values, back = np.unique(second, return_inverse=True)
-        group = np.cumsum(np.concatenate([[0], (first[1:] != first[:-1]).astype(np.int64)])) if len(first) else first
-        joint = group.astype(np.uint64) << np.uint64(32) | back.astype(np.uint64)
-        there = ~short & (high > low)
-        own = group[low[there]].astype(np.uint64) << np.uint64(32)
-        low[there] = np.searchsorted(joint, own | np.searchsorted(values, low2[there]).astype(np.uint64))
-        high[there] = np.searchsorted(joint, own | np.searchsorted(values, high2[there], "right").astype(np.uint64))
+        array, eight = suffix_array(text)
+        ids, lengths, bounds = self._searched()
+        # ranges of the suffixes that begin with a piece's first 8 bytes; within them, by the next 8, and so on
+        low = np.searchsorted(eight[array], bounds[0][0])
+        high = np.searchsorted(eight[array], bounds[0][1], "right")
+        for k, (least, most) in enumerate(bounds[1:], 1):
+            open_ = np.flatnonzero((lengths > 8 * k) & (high > low))
+            ranges = low[open_], high[open_]
+            low[open_] = _bisect(array, eight, 8 * k, least[open_], *ranges, after=False)
+            high[open_] = _bisect(array, eight, 8 * k, most[open_], *ranges, after=True)
         sizes = np.maximum(high - low, 0)
-        lows, highs, names = low[sizes > 0], sizes[sizes > 0], ids[sizes > 0]
-        at = np.repeat(lows - np.concatenate([[0], np.cumsum(highs)[:-1]]), highs) + np.arange(highs.sum()) if len(lows) else np.zeros(0, np.int64)
-        start, piece = array[at], np.repeat(names, highs)
-        length = np.repeat(lengths[sizes > 0], highs)
-        long = np.flatnonzero(length > 16)
-        if len(long):
-            raw = text.tobytes()
-            ok = np.ones(len(start), bool)
-            ok[long] = [raw.startswith(self.pieces[p], s) for s, p in zip(start[long].tolist(), piece[long].tolist(), strict=True)]
-            start, length, piece = start[ok], length[ok], piece[ok]
+        some = np.flatnonzero(sizes)
+        before = np.concatenate([[0], np.cumsum(sizes[some])])
+        start = array[np.repeat(low[some] - before[:-1], sizes[some]) + np.arange(before[-1])]
+        piece, length = np.repeat(ids[some], sizes[some]), np.repeat(lengths[some], sizes[some])
         # characters without a piece
         begins = ((text & 0xC0) != 0x80) & (text != _SEPARATOR)
         size = np.diff(np.concatenate([np.flatnonzero((text & 0xC0) != 0x80), [len(text)]]))
@@ -280,24 +269,51 @@ class Vocabulary:
         return np.concatenate([start, chars[other]]), np.concatenate([length, size[other]]), np.concatenate([piece, np.full(other.sum(), len(self.pieces))])
 
     def _searched(self):
-        """Search bounds of the pieces that merging can reach, as the big-endian numbers of their first 16 bytes."""
+        """The pieces that merging can reach, their lengths, and for each 8 bytes of them the bounds to search: bytes beyond a piece are free."""
         if not hasattr(self, "_bounds"):
             own = [i for _, i in sorted(self.ids.items()) if self.rank[i] < 0 or i in self.parts]
-            low = np.frombuffer(b"".join(self.pieces[i][:16].ljust(16, b"\0") for i in own), ">u8").reshape(-1, 2).astype(np.uint64)
-            high = np.frombuffer(b"".join(self.pieces[i][:16].ljust(16, b"\xff") for i in own), ">u8").reshape(-1, 2).astype(np.uint64)
-            self._bounds = (np.array(own, np.int64), np.array([len(self.pieces[i]) for i in own], np.int64), low[:, 0], high[:, 0], low[:, 1], high[:, 1])
+            lengths = np.array([len(self.pieces[i]) for i in own], np.int64)
+            width = -(-int(lengths.max()) // 8) * 8
+            low, high = (np.frombuffer(b"".join(self.pieces[i].ljust(width, c) for i in own), ">u8").reshape(len(own), -1).astype(np.uint64) for c in (b"\0", b"\xff"))
+            self._bounds = (np.array(own, np.int64), lengths, [(low[:, k].copy(), high[:, k].copy()) for k in range(width // 8)])
         return self._bounds
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text sorted by the 16 bytes from there on, and the first and next 8 bytes in that order."""
-    padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    eight = np.zeros(len(text) + 8, np.uint64)
-    for k in range(8):
-        eight |= padded[k : k + len(text) + 8].astype(np.uint64) << np.uint64(56 - 8 * k)
-    first, second = eight[: len(text)], eight[8:]
-    order = np.lexsort((second, first))
-    return order, first[order], second[order]
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions of all suffixes of a text in their order, and the 8 bytes from each position on as a number.
+
+    Suffixes are ordered by 8 bytes; those that are equal so far, again and
+    again, by the places of what follows, which doubles the bytes compared.
+    """
+    n = len(text)
+    eight = np.ndarray(n, ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+    order = np.argsort(eight, kind="stable")
+    slot, own, width = np.arange(n), eight[order], 8
+    place = np.empty(n, np.int64)
+    while len(slot):
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        place[order[slot]] = slot[np.flatnonzero(new)][np.cumsum(new) - 1]
+        slot = slot[~(new & np.append(new[1:], True))]
+        at = order[slot]
+        after = np.where(at + width < n, place[np.minimum(at + width, n - 1)] + width + 1, n - at)  # of two that end, the shorter comes first
+        own = place[at].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+        again = np.argsort(own, kind="stable")
+        order[slot], own = at[again], own[again]
+        width *= 2
+    return order, eight
+
+
+def _bisect(array: np.ndarray, eight: np.ndarray, skip: int, value: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+    """For each value, the first place in its range of the array whose suffix has, skip bytes on, 8 bytes of at least (after: more than) the value."""
+    low, high = low.copy(), high.copy()
+    while (todo := np.flatnonzero(low < high)).size:
+        middle = (low[todo] + high[todo]) // 2
+        at = array[middle] + skip
+        own = np.where(at < len(eight), eight[np.minimum(at, len(eight) - 1)], np.uint64(0))
+        less = own <= value[todo] if after else own < value[todo]
+        low[todo[less]] = middle[less] + 1
+        high[todo[~less]] = middle[~less]
+    return low
 
 
 def _unit_bounds(data: np.ndarray, offsets: np.ndarray):
@@ -332,7 +348,7 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.hashes, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.first, self.count, self.flat = Known(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -340,22 +356,21 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(text))
-        total = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(_BYTE[text] * _power(_BASE, len(text))[: len(text)], out=total[1:])
-        hashes = mix((total[end] - total[start]) * _power(_INVERSE, len(text) + 1)[start] + (end - start).astype(np.uint64))
-        own, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = np.stack(keys_of(text, start, end))
+        at, own = grouped(*keys)
         if len(self.flat) > HELD:
             self.clear()
-        new = ~np.isin(own, self.hashes, assume_unique=True)
-        if new.any():
+        number = self.known.find(*keys[:, at])
+        new = at[number < 0]
+        if len(new):
             raw = text.tobytes()
-            ids, sizes = self.vocabulary.encode_units([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            first = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.flat = np.concatenate([self.flat, ids])
-            hashes_, first, sizes = np.concatenate([self.hashes, own[new]]), np.concatenate([self.first, first]), np.concatenate([self.count, sizes])
-            order = np.argsort(hashes_)
-            self.hashes, self.first, self.count = hashes_[order], first[order], sizes[order]
-        place = np.searchsorted(self.hashes, own)[back]
+            ids, sizes = self.vocabulary.encode_units([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            more = len(self.first) + np.arange(len(new))
+            number[number < 0] = more
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.count, self.flat = np.concatenate([self.count, sizes]), np.concatenate([self.flat, ids])
+            self.known.add(*keys[:, new], more)
+        place = number[own]
         count = self.count[place]
         before = np.concatenate([[0], np.cumsum(count)])
         flat = self.flat[np.repeat(self.first[place] - before[:-1], count) + np.arange(before[-1])]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import over_batches
-from loomquery.llm._text import SPACED, buffers, chunks, split_words
+from loomquery.llm._text import SPACED, Known, buffers, chunks, grouped, split_words
 
 #: Bytes of text in a chunk, words handed to the library at once, and known words that a task holds.
 CHUNK = 2 << 20
@@ -61,11 +61,14 @@ def lengths(texts: list[str], path: str) -> np.ndarray:
 
 
 class Counter:
-    """Token counts of texts; a task's different words are encoded once, as long as no more than HELD are known."""
+    """Token counts of texts; a task's different words are encoded once, as long as no more than HELD are known.
+
+    Words are told apart by their 128-bit keys, which most words are themselves.
+    """
 
     def __init__(self, path: str):
         self.path = path
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.counts = Known(), np.zeros(0, np.int64)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Token counts of the texts bounded by offsets."""
@@ -74,17 +77,17 @@ class Counter:
         words = split_words(data, offsets, SPACED, lower=False)
         if not len(words.start):
             return np.zeros(len(offsets) - 1, np.int64)
-        own, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.hashes) > HELD:
+        if len(self.counts) > HELD:
             self.__init__(self.path)
-        new = ~np.isin(own, self.hashes, assume_unique=True)
-        at = at[new]
-        found = [lengths([words.word(k).decode() for k in at[i : i + WORDS_AT_ONCE]], self.path) for i in range(0, len(at), WORDS_AT_ONCE)]
-        hashes, counts = np.concatenate([self.hashes, own[new]]), np.concatenate([self.counts, *found])
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        each = self.counts[np.searchsorted(self.hashes, own)][back]
-        return np.bincount(words.text_of(), weights=each, minlength=len(offsets) - 1).astype(np.int64)
+        keys = np.stack(words.keys())
+        at, own = grouped(*keys)
+        number = self.known.find(*keys[:, at])
+        new = at[number < 0]
+        found = [lengths([words.word(k).decode() for k in new[i : i + WORDS_AT_ONCE]], self.path) for i in range(0, len(new), WORDS_AT_ONCE)]
+        number[number < 0] = len(self.counts) + np.arange(len(new))
+        self.counts = np.concatenate([self.counts, *found])
+        self.known.add(*keys[:, new], number[number >= len(self.counts) - len(new)])
+        return np.bincount(words.text_of(), weights=self.counts[number[own]], minlength=len(offsets) - 1).astype(np.int64)
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

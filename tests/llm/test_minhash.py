@@ -6,6 +6,7 @@ from loomquery.llm import minhash
 from loomquery.llm._store import Store
 from loomquery.llm.components import components
 from tests.llm.samples import edited, frame, prose, texts, words
+from tests.llm.test_text import thue_morse
 
 
 def shingles(text, k):
@@ -92,3 +93,9 @@ def test_ids_with_different_texts(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 11)} and len(got) == len(rows)
     kept = minhash.keep_one(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in kept) == [3, 9, 9, 9, 11]
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    x, y = thue_morse(2048, "a", "b")
+    rows = [(1, f"{x} {y}"), (2, f"{y} {x}"), (3, x), (4, y), (5, " ".join([x, y, x, x, y, y, x, y, x])), (6, " ".join([x] * 9))]
+    check(spark, rows, 2)

@@ -3,7 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomquery.llm._text import ALNUM, SPACED, buffers, chunks, split_words, sums
+from loomquery.llm._text import ALNUM, SPACED, Known, buffers, chunks, distinct, grouped, split_words, sums
 from tests.llm.samples import words
 
 
@@ -33,3 +33,27 @@ def test_equal_words_have_equal_hashes_in_any_chunk():
     one = split_words(*buffers(pa.array(["abc"]))[:2], SPACED).hashes()
     many = split_words(*buffers(pa.array(["x" * 5000 + " y abc"]))[:2], SPACED).hashes()
     assert one[0] == many[2]
+
+
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two different words that any polynomial modulo 2^64 gives one hash."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_different_words_have_different_keys():
+    x, y = thue_morse(2048, "a", "b")
+    values = [x, y, "a" * 15, "a" * 16, "a" * 15 + "\x00", "a", "a\x00", "\x00", "a" * 7, "a" * 8, "a" * 9, "a" * 8 + "\x00"]
+    found = split_words(*buffers(pa.array(values))[:2], SPACED)
+    assert len(set(zip(*(k.tolist() for k in found.keys()), strict=True))) == len(values)
+    assert len(set(found.hashes().tolist())) == len(values)
+
+
+def test_equal_halves_of_different_values():
+    first, second = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    assert [v.tolist() for v in distinct(first, second)] == [[5, 5, 7], [1, 2, 1]]
+    at, own = grouped(first, second)
+    assert sorted(at.tolist()) == [0, 1, 3] and own[0] == own[2] and own[1] == own[4] and len(set(own.tolist())) == 3
+    known = Known()
+    known.add(first[at], second[at], at)
+    assert known.find(first, second).tolist() == [0, 1, 0, 3, 1] and known.find(second, first).tolist() == [-1] * 5

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -10,6 +11,7 @@ from loomquery.llm import sentencepiece_bpe as sp
 from loomquery.llm import token_count
 from loomquery.llm._text import buffers, chunks
 from tests.llm.samples import frame, texts
+from tests.llm.test_text import thue_morse
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -77,3 +79,25 @@ def test_long_merges_equal_short_search():
                 break
             now[best[1] : best[1] + 2] = [now[best[1]] + now[best[1] + 1]]
         assert [p for _, p in v.merges(text.replace("▁", " ").encode())[0]] == now
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(2048, "th", "er")
+    rows = [(1, f"{x} {y}"), (2, f"{y} {x} {y}"), (3, x), (4, y)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    counted = {r.doc_id: r.n_tokens for r in token_count.token_counts(frame(spark, rows), path).collect()}
+    assert counted == {i: len(own.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoded = {r.doc_id: r.ids for r in sp.encode(frame(spark, rows), MODEL, "doc_id").collect()}
+    assert encoded == {i: library.encode(t) for i, t in rows}
+
+
+def test_suffix_array_orders_all_suffixes():
+    rng = random.Random(6)
+    for raw in [b"", b"a", b"banana" * 30, b"\x00" * 40, b"ab\x00\x00" * 25, b"x" * 3000, bytes(rng.randrange(3) for _ in range(2000))]:
+        order, _ = sp.suffix_array(np.frombuffer(raw, np.uint8))
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
