@@ -1,13 +1,17 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
 
-A text's sections end at blank lines, their paragraphs at line ends. A
-paragraph's node hashes its text, a section's node its paragraphs' hashes and
-the root its sections', so roots test equality, and a descent into branches
-that differ locates edits. A fingerprint writes the tree as a string:
-``root|section:paragraph,paragraph;section:paragraph|pieces``, with shortened
-hashes below the root. The pieces are short hashes, each of up to PIECE code
-points within a paragraph, by which fingerprints of texts that aren't equal
-are likened.
+A text's sections end at blank lines. A section's paragraphs end at line ends
+and, within a line, at borders that its content sets: white space after a few
+letters, some marks, and common characters of scripts without spaces. So what
+is put in or taken out moves no border but those beside it. Only where none
+comes for MOST code points is a paragraph cut by length.
+
+A paragraph's node hashes its text, a section's node its paragraphs' hashes
+and the root its sections', all by SHA-256: roots test equality, and branches
+that differ locate edits. A fingerprint writes the tree as a string,
+``root|section:paragraphs;section:paragraphs``, with hashes below the root
+shortened to SHORT digits. Fingerprints are likened by their trees: by the
+paragraphs, branches that are equal with all of theirs, that both hold.
 """
 
 from __future__ import annotations
@@ -15,119 +19,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a piece, and hexadecimal digits of a hash below the root.
-PIECE, SHORT = 16, 8
-#: Equal ranges of ids in which rows are counted before they are dealt out.
-SLOTS = 1 << 14
+#: Hexadecimal digits of a hash below the root, code points of a paragraph without a border, and bytes of text that a task takes.
+SHORT, MOST, PART_BYTES = 6, 256, 32 << 20
 
-
-def pieces(text: Column, piece: int = PIECE) -> Column:
-    """The short hashes of a text's pieces."""
-    found = F.regexp_extract_all(text, F.lit(r"(?:[^\n]{1,%d}|\n)\n*" % piece), F.lit(0))
-    return F.transform(found, lambda x: F.substring(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), 1, SHORT))
+# Letters after which white space is a border (one or two of ten
+# words of western European languages end in one), marks after which it is one,
+# and common characters of Chinese, Japanese and Thai after which there is one.
+LETTERS, MARKS, COMMON = "ltLT", ".,;:!?", "。，、的了是在のはをにรนก"
+BORDER = rf"(?<=\n)|(?<=[{LETTERS}{MARKS}]\x20)(?!\x20)|(?<=[{COMMON}])"
 
 
 def tree(text: Column) -> Column:
     """The nodes below the root of a text that isn't null: an array of sections, each with its own hash and its paragraphs'."""
-    sections = F.split(text, r"(?<=\n\n)(?=[^\n])")
-    return F.transform(F.transform(sections, lambda s: F.transform(F.split(s, r"(?<=\n)(?=[^\n])"), F.md5)), lambda p: F.struct(F.md5(F.array_join(p, "")).alias("own"), p.alias("paragraphs")))
+    def paragraphs(section):
+        parts = F.filter(F.split(section, BORDER, -1), lambda p: p != "")
+        long = lambda p: F.when(F.char_length(p) > MOST, F.regexp_extract_all(p, F.lit(r"(?s).{1,%d}" % MOST), F.lit(0))).otherwise(F.array(p))
+        return F.transform(F.flatten(F.transform(parts, long)), lambda p: F.sha2(p, 256))
 
+    sections = F.filter(F.split(text, r"(?<=\n\n)(?=[^\n])", -1), lambda s: s != "")
+    return F.transform(F.transform(sections, paragraphs), lambda p: F.struct(F.sha2(F.array_join(p, ""), 256).alias("own"), p.alias("paragraphs")))
 
-def fingerprint(sections: Column, own: Column) -> Column:
-    """The string form of a tree and its text's pieces; the root is a SHA-256 over the section hashes."""
-    root = F.sha2(F.array_join(F.transform(sections, lambda s: s["own"]), ""), 256)
-    short = F.transform(sections, lambda s: F.concat(F.substring(s["own"], 1, SHORT), F.lit(":"), F.array_join(F.transform(s["paragraphs"], lambda p: F.substring(p, 1, SHORT)), ",")))
-    return F.concat_ws("|", root, F.array_join(short, ";"), F.array_join(own, ""))
 
+def fingerprint(text: Column) -> Column:
+    """The string form of a text's tree; a null text is empty."""
+    def written(sections):
+        root = F.sha2(F.array_join(F.transform(sections, lambda s: s["own"]), ""), 256)
+        short = F.transform(sections, lambda s: F.concat(F.substring(s["own"], 1, SHORT), F.lit(":"), F.array_join(F.transform(s["paragraphs"], lambda p: F.substring(p, 1, SHORT)), "")))
+        return F.concat_ws("|", root, F.array_join(short, ";"))
 
-def pieces_of(print_: Column) -> Column:
-    """The pieces that a fingerprint holds."""
-    return F.regexp_extract_all(F.split(print_, r"\|")[2], F.lit("[0-9A-F]{%d}" % SHORT), F.lit(0))
+    return F.transform(F.array(tree(F.coalesce(text, F.lit("")))), written)[0]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two arrays of pieces, 0 to 1: the different pieces that both have, of those of the one that has more; 1 if neither has any."""
-    most = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
+def sections(print_: Column) -> Column:
+    """The sections of a fingerprint: (own, paragraphs), as short hashes."""
+    parts = F.filter(F.split(F.split(print_, r"\|")[1], ";"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.struct(F.substring(s, 1, SHORT).alias("own"), F.regexp_extract_all(F.substring(s, SHORT + 2, F.char_length(s)), F.lit("[0-9a-f]{%d}" % SHORT), F.lit(0)).alias("paragraphs")))
+
 
+def leaves(print_: Column) -> Column:
+    """The different paragraphs of a fingerprint, as short hashes."""
+    return F.array_distinct(F.flatten(F.transform(sections(print_), lambda s: s["paragraphs"])))
 
-def with_fingerprint(df: DataFrame, text: str, to: str, pieces_to: str, piece: int = PIECE) -> DataFrame:
-    """df with the fingerprint of a column (a null is empty) and its array of pieces."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"__sections": tree(own), pieces_to: pieces(own, piece)})
-    return df.withColumn(to, fingerprint(F.col("__sections"), F.col(pieces_to))).drop("__sections")
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two trees by their different paragraphs, 0 to 1: those that both hold, of those of the one that holds more; 1 if neither has any."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Paragraphs (0-based section and paragraph) at which two fingerprints differ; branches of equal sections aren't entered.
+    """(section, paragraph), from 0, of the paragraphs in the first fingerprint's tree that differ from the second's.
 
-    A section or paragraph that only one of them has differs. Equal
-    fingerprints give an empty array.
+    Sections that the second tree holds too aren't entered; in others, the
+    paragraphs differ that none of the second's own differing sections holds.
+    What only the second tree has is found the other way round.
     """
-    parts = lambda x: F.split(F.split(x, r"\|")[1], ";")
-    own = lambda s: F.split(s, ":")
-    paired = F.arrays_zip(parts(a).alias("a"), parts(b).alias("b"))
-    at = F.transform(paired, lambda s, i: F.when(s["a"].eqNullSafe(s["b"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(_paragraphs(own(s["a"])[1], own(s["b"])[1], i)))
-    return F.flatten(at)
-
-
-def _paragraphs(a: Column, b: Column, section: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    pairs = F.arrays_zip(F.coalesce(F.split(a, ","), empty).alias("a"), F.coalesce(F.split(b, ","), empty).alias("b"))
-    marked = F.transform(pairs, lambda p, i: F.struct(section.cast("int").alias("section"), i.cast("int").alias("paragraph"), p["a"].eqNullSafe(p["b"]).alias("same")))
-    return F.transform(F.filter(marked, lambda p: ~p["same"]), lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")))
-
-
-def _bucket(rows: DataFrame, buckets: int):
-    """A column of at most buckets ranges of the integer id with about as many rows each; nulls are in the first."""
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    if low is None or buckets < 2:
-        return F.lit(0)
-    width = -(-(high - low + 1) // SLOTS)
-    slot = F.floor((F.col("id") - low) / width).cast("int")
-    counts = dict(rows.filter("id IS NOT NULL").groupBy(slot.alias("s")).count().collect())  # at most SLOTS rows
-    place, seen, total = [], 0, sum(counts.values())
-    for s in range(max(counts) + 1):
-        place.append(seen * buckets // total)
-        seen += counts.get(s, 0)
-    return F.coalesce(F.get(F.array(*[F.lit(p) for p in place]), slot), F.lit(0))
-
-
-def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(id, text, following): each row with the text of the next row by (id, text), of the last with the first's; nulls come first.
-
-    Rows are dealt by ranges of the id; the last of a range looks at the first
-    of the next range that has any.
+    def differing(own, other):
+        gone = F.transform(other, lambda s: s["own"])
+        return F.transform(own, lambda s, i: F.struct(i.cast("int").alias("section"), F.when(F.array_contains(gone, s["own"]), F.array().cast("array<string>")).otherwise(s["paragraphs"]).alias("paragraphs")))
+
+    def located(pair):
+        mine, theirs = differing(pair["a"], pair["b"]), F.flatten(F.transform(differing(pair["b"], pair["a"]), lambda s: s["paragraphs"]))
+        return F.transform(F.array(F.struct(mine.alias("mine"), theirs.alias("theirs"))), found)[0]
+
+    def found(both):
+        marked = F.transform(both["mine"], lambda s: F.transform(s["paragraphs"], lambda p, i: F.struct(s["section"].alias("section"), i.cast("int").alias("paragraph"), F.array_contains(both["theirs"], p).alias("same"))))
+        return F.transform(F.filter(F.flatten(marked), lambda p: ~p["same"]), lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")))
+
+    return F.transform(F.array(F.struct(sections(a).alias("a"), sections(b).alias("b"))), located)[0]
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
+    """(id, text, print, following, next_print): each row with text and fingerprint of the next one by id and then by the text's SHA-256, of the last with the first's; nulls come first.
+
+    Rows are dealt by ranges of their order, as many as their bytes ask for.
+    Bounds come from dealing the ids alone; ids of any type that can be
+    ordered will do, however they are spread and however often one repeats.
+    The last row of a range looks at the first of the next one that has any.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", _bucket(rows, buckets))
-    order = Window.partitionBy("bucket").orderBy("id", "text")
-    led = rows.withColumn("following", F.lead("text").over(order))
-    least = rows.groupBy("bucket").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("none"))
-    least = F.broadcast(least.select("bucket", F.when(F.col("none"), None).otherwise(F.col("id")).alias("least")))  # a row a bucket
-    heads = rows.join(least, "bucket").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    ring = Window.orderBy("bucket")  # a row a bucket
-    heads = heads.withColumn("wrapped", F.coalesce(F.lead("text").over(ring), F.first("text").over(ring))).select("bucket", "wrapped")
-    return led.join(heads, "bucket").select("id", "text", F.coalesce("following", "wrapped").alias("following"))
-
-
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, buckets: int | None = None) -> DataFrame:
+    if parts is None:
+        parts = -(-(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
+        parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("at", F.struct("id", F.sha2("text", 256).alias("digest"), F.monotonically_increasing_id().alias("row")))
+    least = rows.select("at").repartitionByRange(max(1, parts), "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("at"))
+    bounds = least.agg(F.array_sort(F.collect_list("at")).alias("bounds")).scalar()  # a row a range
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, parts).bit_length(), -1, -1)])
+    # the last bound up to the row, by halving
+    range_ = F.aggregate(steps, F.lit(0), lambda a, s: F.when(F.get(F.col("bounds"), a + s) <= F.col("at"), a + s).otherwise(a))
+    rows = rows.withColumn("bounds", bounds).withColumn("range", range_).drop("bounds").withColumn("print", fingerprint(F.col("text")))
+    order = Window.partitionBy("range").orderBy("at")
+    next_ = F.struct("text", "print")
+    led = rows.withColumn("next", F.lead(next_).over(order))
+    heads = rows.groupBy("range").agg(F.min_by(F.struct("text", "print"), "at").alias("head"))
+    ring = Window.orderBy("range")  # a row a range
+    heads = heads.withColumn("wrapped", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring))).select("range", "wrapped")
+    out = led.join(heads, "range").withColumn("next", F.coalesce("next", "wrapped"))
+    return out.select("id", "text", "print", F.col("next.text").alias("following"), F.col("next.print").alias("next_print"))
+
+
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edit, which ends in the beginning of the next text instead of its own last quarter.
 
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. A null text is empty; equal texts have equal
-    fingerprints; the next of rows with one id is by text; a single row is
-    its own next; an empty table gives an empty result.
+    fingerprints; the next of rows with one id is by the text's SHA-256; a
+    single row is its own next; an empty table gives an empty result.
     """
-    buckets = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
-    rows = with_next(df, id_col, text_col, buckets)
+    rows = with_next(df, id_col, text_col, parts)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("moved", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("moved")).cast("int")), F.substring(F.col("following"), F.lit(1), F.col("moved")))
-    rows = rows.withColumn("edited", edited)
-    for text, to in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("following", "next_fingerprint")):
-        rows = with_fingerprint(rows, text, to, f"{to}_pieces", piece)
+    rows = rows.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    rows = rows.withColumns({"own": leaves(F.col("print")), "near_edited": leaves(F.col("edited_fingerprint")), "near_next": leaves(F.col("next_print"))})
     return rows.select(
-        F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint_pieces"), F.col("edited_fingerprint_pieces")).alias("near_edited"),
-        likeness(F.col("fingerprint_pieces"), F.col("next_fingerprint_pieces")).alias("near_next"),
+        F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), "edited_fingerprint",
+        likeness(F.col("own"), F.col("near_edited")).alias("near_edited"), likeness(F.col("own"), F.col("near_next")).alias("near_next"),
     )

@@ -16,38 +16,76 @@ def plain(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+
+def plain_tree(t):
+    """[(section's hash, [paragraphs' hashes])] of a text."""
+    out = []
+    for section in [x for x in re.split(r"(?<=\n\n)(?=[^\n])", t) if x]:
+        parts = [""]
+        for k, c in enumerate(section):
+            parts[-1] += c
+            after = section[k + 1 : k + 2]
+            if c in "\n。，、的了是在のはをにรนก" or c == " " and k and section[k - 1] in "ltLT.,;:!?" and after != " ":
+                parts.append("")
+        parts = [p[i : i + 256] for p in parts for i in range(0, len(p), 256)]
+        out.append((sha("".join(map(sha, parts))), [sha(p) for p in parts]))
+    return out
+
+
+def plain_print(t):
+    nodes = plain_tree(t)
+    return sha("".join(own for own, _ in nodes)) + "|" + ";".join(own[:6] + ":" + "".join(p[:6] for p in parts) for own, parts in nodes)
+
+
+def plain_likeness(a, b):
+    x, y = ({p[:6] for _, parts in plain_tree(t) for p in parts} for t in (a, b))
+    return len(x & y) / max(len(x), len(y)) if x or y else 1.0
+
+
+def check_fingerprints(spark, rows, parts, df=None):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, sha(r[1] or "")))
+    df = merkle.edited_fingerprints(frame(spark, rows) if df is None else df, parts=parts)
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        edit = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        want.append((i, len(t), sha(edit), plain_print(t), plain_print(edit), plain_likeness(t, edit), plain_likeness(t, following)))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    return df
+
+
 def test_fingerprints_against_brute_force(spark):
-    rows = texts()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
-    for buckets in (1, 3, 16):
-        df = merkle.edited_fingerprints(frame(spark, rows), buckets=buckets)
-        got = df.collect()
-        want = []
-        for k, (i, t) in enumerate(order):
-            t, following = t or "", order[(k + 1) % len(order)][1] or ""
-            n = len(t)
-            edit = t[: n - n // 4] + following[: n // 4]
-            want.append((i, n, hashlib.sha256(edit.encode()).hexdigest()))
-        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == sorted(want, key=str)
+    rows = texts() + [(80, "的".join(prose(i, 3) for i in range(9))), (81, prose(4, 90).replace("\n", "\n\n")), (82, "a. b.  c,d, e\n\n\n\nf\n"), (20, texts()[9][1])]
+    for parts in (1, 5):
+        df = check_fingerprints(spark, rows, parts)
     assert "Python" not in plain(df) and "Arrow" not in plain(df)
-    prints = {}
-    for r in got:
-        text = next((t or "") for i, t in rows if i == r.doc_id) if r.doc_id is not None else None
-        if text is not None:
-            assert prints.setdefault(text, r.fingerprint) == r.fingerprint
-    assert len(set(prints.values())) == len(prints)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    long = [r for r in got if r.n_chars > 300 and r.doc_id not in (41,)]
-    assert all(0.5 < r.near_edited for r in long)
+
+
+def test_ids_of_any_type_and_spread(spark):
+    rows = [(-(2**63), "least"), (2**63 - 1, "most"), (2**60, "far")] + [(i, prose(i, 12)) for i in range(40)] + [(7, "one id")] * 30 + [(7, f"one id {i}") for i in range(9)]
+    check_fingerprints(spark, rows, 6)
+    named = [(f"id{i:03}", t) for i, (_, t) in enumerate(rows[3:30])]
+    check_fingerprints(spark, named, 4, spark.createDataFrame(named, "doc_id string, text string"))
+    dealt = merkle.with_next(frame(spark, rows), "doc_id", "text", 6)
+    assert dealt.count() == len(rows)
+
+
+def test_an_inserted_character_leaves_the_rest_alike(spark):
+    long = prose(3, 1200).replace("\n", " ")
+    rows = spark.createDataFrame([(long, "x" + long), (long, long[:3000] + " word" + long[3000:])], "a string, b string")
+    near = rows.select(merkle.likeness(merkle.leaves(merkle.fingerprint(F.col("a"))), merkle.leaves(merkle.fingerprint(F.col("b"))))).collect()
+    assert all(x[0] > 0.97 for x in near)
+    size = rows.select(F.char_length(merkle.fingerprint(F.col("a"))) / F.char_length("a")).first()[0]
+    assert size < 0.35
 
 
 def test_edits_are_located(spark):
     a = "one.\ntwo.\n\nthree.\nfour.\n\nfive."
     b = "one.\ntwo.\n\nthree.\nFOUR.\nmore.\n\nfive."
-    rows = merkle.with_fingerprint(merkle.with_fingerprint(spark.createDataFrame([(a, b), (a, a)], "a string, b string"), "a", "fa", "pa"), "b", "fb", "pb")
-    found = [[tuple(x) for x in r[0]] for r in rows.select(merkle.edits(F.col("fa"), F.col("fb"))).collect()]
-    assert found == [[(1, 1), (1, 2)], []]
-    assert rows.select(F.size(merkle.pieces_of(F.col("fa"))) == F.size("pa")).first()[0]
+    rows = spark.createDataFrame([(a, b), (b, a), (a, a), (a, ""), ("zero.\n\n" + a, a)], "a string, b string").select(merkle.edits(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b")))).collect()
+    assert [[tuple(x) for x in r[0]] for r in rows] == [[(1, 1)], [(1, 1), (1, 2)], [], [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)], [(0, 0)]]
 
 
 def test_fingerprints_of_few_rows(spark):
