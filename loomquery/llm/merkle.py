@@ -26,7 +26,7 @@ SHORT, MOST, PART_BYTES = 6, 256, 32 << 20
 # words of western European languages end in one), marks after which it is one,
 # and common characters of Chinese, Japanese and Thai after which there is one.
 LETTERS, MARKS, COMMON = "ltLT", ".,;:!?", "。，、的了是在のはをにรนก"
-BORDER = rf"(?<=\n)|(?<=[{LETTERS}{MARKS}]\x20)(?!\x20)|(?<=[{COMMON}])"
+BORDER = rf"(?<=\n)(?!\n)|(?<=[{LETTERS}{MARKS}]\x20)(?!\x20)|(?<=[{COMMON}])"
 
 
 def tree(text: Column) -> Column:

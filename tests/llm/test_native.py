@@ -27,7 +27,7 @@ def plain_tree(t):
         for k, c in enumerate(section):
             parts[-1] += c
             after = section[k + 1 : k + 2]
-            if c in "\n。，、的了是在のはをにรนก" or c == " " and k and section[k - 1] in "ltLT.,;:!?" and after != " ":
+            if c in "。，、的了是在のはをにรนก" or c == "\n" and after != "\n" or c == " " and k and section[k - 1] in "ltLT.,;:!?" and after != " ":
                 parts.append("")
         parts = [p[i : i + 256] for p in parts for i in range(0, len(p), 256)]
         out.append((sha("".join(map(sha, parts))), [sha(p) for p in parts]))
