@@ -98,3 +98,30 @@ def uuid_cast_sql(value: str) -> str:
 def quoted(text: str) -> str:
     """A Spark string literal that no escape changes."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: The function that gives the regular expression of a pattern that isn't a literal.
+REGEX_OF = "loom_similar_regex"
+#: A regular expression for those that have a group.
+_GROUP = r"(^|[^\\])\((?!\?)"
+
+
+def register(spark) -> None:
+    """Register REGEX_OF. It sees patterns and escapes only, in Arrow batches; matching stays with Spark."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def regex_of(pattern: pd.Series, escape: pd.Series) -> pd.Series:
+        known: dict = {}
+        for pair in set(zip(pattern, escape, strict=True)):
+            known[pair] = None if None in pair else similar_regex(*pair)[0]
+        return pd.Series([known[pair] for pair in zip(pattern, escape, strict=True)], dtype=object)
+
+    regex_of.__annotations__ = {"pattern": pd.Series, "escape": pd.Series, "return": pd.Series}
+    spark.udf.register(REGEX_OF, pandas_udf(regex_of, "string"))
+
+
+def pattern_sql(value: str, pattern: str) -> str:
+    """SQL text of the first match of a regular expression from a column, or its first group where it has one; NULL without a match."""
+    group = f"CASE WHEN {pattern} RLIKE {quoted(_GROUP)} THEN 1 ELSE 0 END"
+    return f"CASE WHEN {value} RLIKE {pattern} THEN regexp_extract({value}, {pattern}, {group}) END"

@@ -1,7 +1,9 @@
 """Changes to tables, each giving a new version of the table.
 
-Nothing is changed in place: a version is a DataFrame over the one before it.
-All or none of a statement's rows take effect.
+Nothing is changed in place: a version is a DataFrame over the one before it,
+and the session writes it before it takes the other's place. So all or none of
+a statement's rows take effect, and where one of several rows is taken, it
+stays the same one.
 """
 
 from __future__ import annotations
@@ -32,10 +34,16 @@ def _fit(table: Table, new: DataFrame, columns: list[str] | None) -> DataFrame:
         raise DialectError(f"column {sorted(missing)[0]} takes no NULL")
     new = new.toDF(*columns)
     rows = [(F.col(f"`{f.name}`") if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.df.schema]
-    out = new.select(*rows)
-    for name in sorted(set(table.key) | table.required):
-        out = out.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit(f"column {name} takes no NULL")).cast(table.df.schema[name].dataType)))
-    return out
+    return checked(table.with_rows(new.select(*rows)))
+
+
+def checked(table: Table) -> DataFrame:
+    """The table's rows; a NULL in its key or in a NOT NULL column fails the job that reads them."""
+    def value(f):
+        own = F.col(f"`{f.name}`")
+        return F.coalesce(own, F.raise_error(F.lit(f"column {f.name} takes no NULL")).cast(f.dataType)).alias(f.name) if f.name in table.required or f.name in table.key else own
+
+    return table.df.select(*map(value, table.df.schema))
 
 
 def _taken(table: Table, new: DataFrame, key: list[str]) -> bool:

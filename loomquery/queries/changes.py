@@ -86,3 +86,56 @@ def row_limit_option(spark, sf_dir):
     except ValueError:
         refused = True
     return spark.createDataFrame([(n, refused)], "n bigint, refused boolean")
+
+
+def _refused(name: str, *statements: str, result: str = "SELECT id, name, n FROM t", oracle: str = _NATIONS, first: tuple = ()):
+    """Every statement must fail, and the table be read as before."""
+    def run(spark, sf_dir):
+        s = _session(spark, sf_dir)
+        for statement in first:
+            s.sql(statement)
+        for statement in statements:
+            try:
+                done = s.sql(statement)
+                if done is not None:
+                    done.collect()
+            except Exception:  # noqa: BLE001  of the dialect, of Spark's analyzer or of its job
+                continue
+            raise AssertionError(f"should have failed: {statement}")
+        return s.sql(result)
+
+    register(name, wide(oracle, *[c for c in ("id", "n", "c") if c in result.split("FROM")[0].replace(",", " ").split()]))(run)
+
+
+_REQUIRED = ("CREATE TABLE r (id INT PRIMARY KEY, n INT NOT NULL)", "INSERT INTO r SELECT id, n FROM t")
+_R = "SELECT n_nationkey AS id, n_regionkey AS n FROM nation"
+_refused("refused_null_in_block", "DO $$ BEGIN DELETE FROM r WHERE id > 3; INSERT INTO r SELECT 100, NULL; END $$", result="SELECT id, n FROM r", oracle=_R, first=_REQUIRED)
+_refused("refused_null_update", "UPDATE r SET n = NULL WHERE id = 3", "ALTER TABLE r ADD COLUMN c INT NOT NULL", "INSERT INTO r (id) VALUES (100)", result="SELECT id, n FROM r", oracle=_R, first=_REQUIRED)
+_refused("refused_division_by_zero", "UPDATE t SET n = 1 / n", "DO $$ BEGIN DELETE FROM t WHERE id = 1; UPDATE t SET n = 1 / n; END $$", "SELECT 1 / (n_nationkey - n_nationkey) AS x FROM nation")
+_refused("refused_duplicate_keys", "INSERT INTO t (id) VALUES (3)", "INSERT INTO t (id) VALUES (100), (100)", "DO $$ BEGIN DELETE FROM t WHERE id > 3; INSERT INTO t (id) VALUES (1); END $$")
+_refused("refused_aggregates", "SELECT sum(count(name)) AS x FROM t", "SELECT count(*) AS c FROM t GROUP BY count(*)", "SELECT n FROM t GROUP BY row_number() OVER (ORDER BY n)", "SELECT name FROM t GROUP BY n")
+_refused("refused_functions", "SELECT rank() OVER (ORDER BY id) AS x FROM t", "SELECT stddev(n) AS x FROM t", "SELECT length(name) AS x FROM t", "SELECT n FROM t GROUP BY ROLLUP (n)", "SELECT id FROM t CROSS JOIN region", "SELECT id FROM t JOIN nation USING (id)")
+_refused("drop_table", "SELECT id FROM r", "INSERT INTO r VALUES (1, 1)", first=(*_REQUIRED, "DROP TABLE r", "DROP TABLE IF EXISTS r"))
+
+
+@register("not_null_added", wide("SELECT 1 AS id, 5 AS c", "id", "c"))
+def not_null_added(spark, sf_dir):
+    """NOT NULL of a column added to a table without rows holds for later inserts."""
+    s = Session(spark)
+    for statement in ("CREATE TABLE e (id INT PRIMARY KEY)", "ALTER TABLE e ADD COLUMN c INT NOT NULL", "INSERT INTO e VALUES (1, 5)"):
+        s.sql(statement)
+    try:
+        s.sql("INSERT INTO e (id) VALUES (2)")
+    except ValueError:
+        return s.sql("SELECT id, c FROM e")
+    raise AssertionError("the insert should have failed")
+
+
+@register("bucket_filter", wide("SELECT c_custkey AS id, c_nationkey AS n FROM customer WHERE c_custkey = 7 UNION ALL SELECT count(*), max(c_nationkey) FROM customer", "id", "n"))
+def bucket_filter(spark, sf_dir):
+    """The bucket of a key holds its row; all buckets hold all rows; an asterisk hides bucket_id."""
+    s = Session(spark, sf_dir)
+    s.sql("CREATE TABLE c (id INT PRIMARY KEY, n INT) DISTRIBUTED BY (id)")
+    s.sql("INSERT INTO c SELECT c_custkey, c_nationkey FROM customer")
+    bucket = s.sql("SELECT bucket_id FROM c WHERE id = 7").first()[0]
+    return s.sql("SELECT * FROM c WHERE bucket_id = $1 AND id = 7 UNION ALL SELECT sum(b.k)::int, max(b.n) FROM (SELECT bucket_id, count(*) AS k, max(n) AS n FROM c GROUP BY bucket_id) AS b", bucket)

@@ -15,6 +15,13 @@ register_sql("concat_null", "SELECT 'a' || NULL AS n, 'b' || 1 AS i, 'c' || 1.5
 register_sql("substring_forms", """
 SELECT substring(n_name FROM 2 FOR 3) AS a, substring(n_name, 2, 3) AS b, substring(n_name FOR 4) AS c, substring(n_name FROM 3) AS d, substring(n_name, 2) AS e, n_nationkey FROM nation""", """
 SELECT substring(n_name, 2, 3) AS a, substring(n_name, 2, 3) AS b, substring(n_name, 1, 4) AS c, substring(n_name, 3) AS d, substring(n_name, 2) AS e, n_nationkey FROM nation""")
+register_sql("numeric_widening", "SELECT s_suppkey, s_nationkey * 2147483647 + 1 AS wide, s_acctbal + s_nationkey AS mixed, s_nationkey / 2 + s_acctbal AS halved FROM supplier", """
+SELECT s_suppkey, s_nationkey * 2147483647::BIGINT + 1 AS wide, s_acctbal + s_nationkey AS mixed, s_nationkey // 2 + s_acctbal AS halved FROM supplier""")
+register_sql("substring_pattern_columns", """
+SELECT c.c_custkey, substring(c.c_name FROM p.r) AS first_, substring(c.c_name SIMILAR p.s ESCAPE p.e) AS part, substring(c.c_name FROM p.k FOR 3) AS three
+FROM customer AS c JOIN (VALUES ('[0-9]+', '%#"[0-9]{3}#"', '#', 2), ('(C)u', 'C!"_!"%', '!', 4)) AS p(r, s, e, k) ON TRUE""", """
+SELECT c_custkey, CASE p.n WHEN 1 THEN regexp_extract(c_name, '[0-9]+') ELSE regexp_extract(c_name, '(C)u', 1) END AS first_,
+CASE p.n WHEN 1 THEN right(c_name, 3) ELSE substring(c_name, 2, 1) END AS part, substring(c_name, p.k, 3) AS three FROM customer, (VALUES (1, 2), (2, 4)) AS p(n, k)""")
 register_sql("substring_regex", "SELECT n_nationkey, substring(n_name FROM '[AEIOU][A-Z]') AS v, substring(n_name FROM 'N(.)') AS g FROM nation", """
 SELECT n_nationkey, CASE WHEN regexp_matches(n_name, '[AEIOU][A-Z]') THEN regexp_extract(n_name, '[AEIOU][A-Z]') END AS v,
        CASE WHEN regexp_matches(n_name, 'N(.)') THEN regexp_extract(n_name, 'N(.)', 1) END AS g FROM nation""")

@@ -33,6 +33,12 @@ register_sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELE
 register_sql("semi_exists", "SELECT r_name FROM region WHERE EXISTS (SELECT n_nationkey FROM nation WHERE n_nationkey > 20)")
 register_sql("anti_not_exists", "SELECT r_name FROM region WHERE NOT EXISTS (SELECT n_nationkey FROM nation WHERE n_nationkey > 100)")
 register_sql("anti_not_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+register_sql("anti_not_in_large", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AND c_acctbal > 0")
+register_sql("anti_not_in_row", """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT o_orderkey, 1 FROM orders WHERE o_totalprice > 50000) AND l_quantity > 40""")
+register_sql("anti_not_in_row_null", """
+SELECT v.a, v.b FROM (VALUES (1, 1), (NULL, 2), (3, NULL), (4, 4), (6, 6), (NULL, NULL)) AS v(a, b)
+WHERE (v.a, v.b) NOT IN (SELECT w.c, w.d FROM (VALUES (1, 1), (5, 2), (NULL, 4)) AS w(c, d))""")
 register_sql("anti_not_in_null", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT v.a FROM (VALUES (1), (NULL)) AS v(a))")
 
 

@@ -19,7 +19,7 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 
 register_sql("scan_projection", "SELECT o_orderkey AS k, o_totalprice * 2 AS double_price, o_orderstatus FROM orders AS o WHERE o_totalprice > 100000")
 register_sql("scan_subquery", "SELECT s.k, s.n FROM (SELECT n_regionkey AS k, n_name AS n FROM nation) AS s WHERE s.k >= 2")
-register_sql("scan_indexed_by", "SELECT c_custkey FROM customer INDEXED BY customer_pk WHERE c_custkey < 50", "SELECT c_custkey FROM customer WHERE c_custkey < 50")
+register_sql("scan_indexed_by", "SELECT c_custkey FROM customer INDEXED BY customer_pk WHERE c_acctbal < 500", "SELECT c_custkey FROM customer WHERE c_acctbal < 500")
 register_sql("select_without_scan", "SELECT 1 + 2 AS a, 'x' AS b, count(*) AS c", "SELECT CAST(1 + 2 AS BIGINT) AS a, 'x' AS b, count(*) AS c")
 register_sql("select_asterisk", "SELECT r.*, n.n_name FROM region AS r JOIN nation AS n ON r.r_regionkey = n.n_regionkey")
 register_sql("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -34,6 +34,7 @@ register_sql("filter_ilike", "SELECT p_partkey FROM part WHERE p_type ILIKE '%BR
 register_sql("filter_in_list", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
 register_sql("filter_row_in", "SELECT n_name FROM nation WHERE (n_regionkey, n_nationkey) IN ((0, 0), (1, 1), (2, 8))")
 register_sql("filter_row_equal", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_linenumber, l_returnflag) = (1, 'R')")
+register_sql("filter_in_values", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN (VALUES ('1-URGENT'), ('2-HIGH')) AND o_orderstatus NOT IN (VALUES ('F'))")
 register_sql("filter_boolean_logic", "SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 1000 OR o_orderstatus = 'F') AND (o_custkey % 2 = 0 OR o_custkey <> 7) AND o_totalprice != 5.5")
 register_sql("filter_is_tests", """
 SELECT v.a, (v.a IS NULL) AS n, (v.b IS TRUE) AS t, (v.b IS NOT FALSE) AS nf, (v.b IS UNKNOWN) AS u
@@ -60,13 +61,14 @@ FROM (VALUES (1, 1), (NULL, 2), (3, 3)) AS v(a, b) ORDER BY v.a NULLS FIRST""",
 SELECT v.a, row_number() OVER (ORDER BY v.a DESC NULLS LAST, v.b) AS last_, row_number() OVER (ORDER BY v.a NULLS FIRST, v.b) AS first_
 FROM (VALUES (1, 1), (NULL, 2), (3, 3)) AS v(a, b)""")
 register_sql("order_ordinal_alias", "SELECT n_regionkey AS r, n_name FROM nation ORDER BY r DESC, 2")
+register_sql("order_in_cte", "WITH c AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40), d AS (SELECT s.o_orderkey FROM (SELECT o_orderkey FROM c ORDER BY o_orderkey LIMIT 20) AS s) SELECT o_orderkey FROM d")
 register_sql("limit_all", "SELECT r_name FROM region LIMIT NULL", "SELECT r_name FROM region")
 register_sql("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 register_sql("topk_groups", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
 register_sql("limit_union", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region ORDER BY k LIMIT 12")
 
 register_sql("union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region", "SELECT CAST(n_regionkey AS BIGINT) AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
-register_sql("union_all_nested", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation")
+register_sql("union_all_nested", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation")
 register_sql("union_all_versions", """
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < to_date('1995-01-01', '%Y-%m-%d') AND o_custkey IN (1, 2, 3, 4, 5)
 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= to_date('1995-01-01', '%Y-%m-%d') AND (o_custkey = 7 OR o_custkey = 8)""", """

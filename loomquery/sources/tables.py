@@ -23,9 +23,10 @@ class Table:
     placed: list[str] | None = None  # None: replicated everywhere
     unique: dict[str, list[str]] = field(default_factory=dict)
     indexes: dict[str, str] = field(default_factory=dict)
+    bucketed: DataFrame | None = None  # the rows with bucket_id, where they are written and placed
 
-    def with_rows(self, df: DataFrame) -> Table:
-        return replace(self, df=df)
+    def with_rows(self, df: DataFrame, bucketed: DataFrame | None = None) -> Table:
+        return replace(self, df=df, bucketed=bucketed)
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
@@ -42,3 +43,19 @@ def replicated(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """A dimension that goes to every executor, if the plan's own estimate of its size is within the limit; else as it is."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= limit else df
+
+
+def written(table: Table, spark: SparkSession, rows: DataFrame, path: str) -> Table:
+    """The table with the rows, written and read again.
+
+    Rows of a placed table are written in the order of their buckets, each
+    file with a range of its own, so that a condition on bucket_id passes by
+    the files and parts of files whose bounds exclude it.
+    """
+    schema = rows.schema
+    if not table.placed:
+        rows.write.parquet(path)
+        return table.with_rows(spark.read.schema(schema).parquet(path))
+    rows = rows.withColumn("bucket_id", bucket_id(*table.placed))
+    rows.repartitionByRange("bucket_id").sortWithinPartitions("bucket_id").write.parquet(path)
+    return table.with_rows(spark.read.schema(schema).parquet(path), spark.read.schema(rows.schema).parquet(path))
