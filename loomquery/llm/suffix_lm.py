@@ -14,9 +14,13 @@ corpus and stays distributed. A run of words is one word longer than its
 context, which in turn is the run before it; so a text's log-probability is the
 root's and one addend for each run of it that the tree has (``Tree.nodes``).
 Addends of frequent runs, at most 1 / MIN_WORD a length, are added in place, as
-are frequent words' counts; others are joined to the texts that hold them.
-Filters of bounded size keep runs out of the shuffle that can't be frequent or
-aren't in the tree; what they let through is counted or joined all the same.
+are frequent words' counts. For others, a task asks once for each different run
+or word of its texts: the questions are dealt by key to the ranges of the tree
+that can answer them, and the answers go back to the texts. Filters of bounded
+size keep runs out of the shuffle that can't be frequent or aren't in the tree;
+what they let through is counted or asked for all the same.
+
+Words are told apart by 128-bit keys, runs of words by 56-bit hashes of these.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import Store, arrow_map, over_batches
-from loomquery.llm._text import SPACED, buffers, chunks, mix, split_words, sums
+from loomquery.llm._text import SPACED, Known, buffers, chunks, grouped, hashes_of, mix, split_words, sums
 
 ADD = 0.1
 #: Longest context in words; least share in all tokens of a word or run that is counted in place.
@@ -40,12 +45,14 @@ LEAST, RATIO, PRIOR = 8, 1.5, 4.0
 GAIN = 8.0
 #: Bits of a filter for each of its keys, and most bits of a filter.
 KEY_BITS, FILTER_BITS = 12, 1 << 28
-#: Hash of the end of a text, and of what stands before one.
-END, BEFORE = np.uint64(0x0E4D), np.uint64(0xBEF0)
-#: Low bits of a counted run that tell a few of the texts that hold it.
+#: Key of the end of a text, which no word has, and the hash of what stands before a text.
+END, BEFORE = np.array([[0x0E4D], [0xFE << 56]], np.uint64), np.uint64(0xBEF0)
+#: Bits beyond those of a run's hash, by which a counted run tells a few of the texts that hold it.
 TAG = np.uint64(8)
 #: Tokens of the corpus to a task that sums up the counts of runs.
 RANGE = 4 << 20
+#: Questions that a task collects before it asks.
+ASKED = 4 << 20
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -90,13 +97,6 @@ class _Counter:
         self.parts = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
         self.held = len(first)
 
-    def batches(self):
-        if self.parts:
-            self.merge()
-            keys, counts = self.parts[0]
-            for i in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)].view(np.int64)), pa.array(counts[i : i + (1 << 17)].astype(np.int64))], ["key", "n"])
-
 
 def _counts(texts: DataFrame, keys_of, low: np.uint64, limit: int = 4 << 20):
     """A function over batches of texts: counts in each of the keys that keys_of(data, offsets) gives for a chunk of texts, as batches' columns."""
@@ -115,15 +115,38 @@ def _counts(texts: DataFrame, keys_of, low: np.uint64, limit: int = 4 << 20):
     return count
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """Counts over all rows of the keys that keys_of(data, offsets) gives for a chunk of texts."""
-    count = _counts(texts, keys_of, np.uint64(0))
+def _counted(texts: DataFrame) -> DataFrame:
+    """(a, b, key, n): the halves of each word's key, its hash, and its number in all rows."""
+
+    def merged(parts):
+        keys, n = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+        at, own = grouped(*keys)
+        return keys[:, at], np.bincount(own, weights=n, minlength=len(at)).astype(np.int64)
+
+    def flushed(parts):
+        keys, n = merged(parts)
+        for i in range(0, len(n), 1 << 17):
+            k = keys[:, i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (k[0].copy(), k[1].copy(), _hashes(k))), pa.array(n[i : i + (1 << 17)])], ["a", "b", "key", "n"])
 
     def rows(batches):
-        for held in count(batches):
-            yield from held.batches()
+        parts, held = [], 0
+        for batch in batches:
+            data, offsets, _ = buffers(batch.column(0))
+            for i, j in chunks(offsets):
+                keys = _words(data, offsets[i : j + 1])[2]
+                parts.append(merged([(keys, np.ones(keys.shape[1], np.int64))]))
+                held += len(parts[-1][1])
+                if held > 1 << 20:
+                    parts = [merged(parts)]
+                    held = len(parts[0][1])
+                    if held > 1 << 20:  # more meet in the shuffle
+                        yield from flushed(parts)
+                        parts, held = [], 0
+        if parts:
+            yield from flushed(parts)
 
-    return over_batches(texts, rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return over_batches(texts, rows, "a long, b long, key long, n long").groupBy("a", "b").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
 
 
 def _frequent(texts: DataFrame, keys_of, total: int) -> DataFrame:
@@ -168,14 +191,19 @@ def _frequent(texts: DataFrame, keys_of, total: int) -> DataFrame:
     return over_batches(dealt, meet, "key long, n long, tag long")
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of the texts, each text's last the end, and the first token of each."""
+def _hashes(keys: np.ndarray) -> np.ndarray:
+    """56-bit hashes of words' keys."""
+    return hashes_of(*keys) >> TAG
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of the texts, each text's last the end; the first token of each; and the tokens' keys."""
     words = split_words(data, offsets, SPACED)
     n = len(offsets) - 1
     first = words.first + np.arange(n + 1)
-    tokens = np.full(first[-1], END, np.uint64)
-    tokens[np.arange(len(words.start)) + words.text_of()] = words.hashes()
-    return tokens, first
+    keys = np.repeat(END, first[-1], axis=1)
+    keys[:, np.arange(len(words.start)) + words.text_of()] = words.keys()
+    return _hashes(keys), first, keys
 
 
 def _runs(tokens: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -234,13 +262,13 @@ def _holds(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Tree:
     """The root and the tree over it.
 
-    words and counts: the words counted in place, by hash. nodes: for each run
+    words and counts: the words counted in place. nodes: for each run
     in the tree, what it adds to the log10 probability of its last word (entry)
     and, as a context, of any word that follows (alpha). keys, entry and alpha:
     the nodes added in place. held: a filter of all nodes.
     """
 
-    words: np.ndarray
+    words: Known
     counts: np.ndarray
     total: int
     kinds: int
@@ -254,7 +282,7 @@ class Tree:
 
     def gains(self, data: np.ndarray, offsets: np.ndarray):
         """The tokens of a few texts, and what the tree adds to each token's log10 probability."""
-        tokens, first = _words(data, offsets)
+        tokens, first, words = _words(data, offsets)
         runs = _runs(tokens, first, self.depth)
         keys, entry, alpha = self.keys, self.entry, self.alpha
         asked = np.unique(np.concatenate(runs))
@@ -272,7 +300,7 @@ class Tree:
                 at = _search(keys, _shifted(run, first, d + 1))
                 gain += np.where(at >= 0, alpha[at], 0.0) if len(keys) else 0.0
         gain[first[:-1]] += 0.0 if _search(keys, np.array([BEFORE]))[0] >= 0 else self.start
-        return tokens, first, _search(self.words, tokens), gain
+        return tokens, first, self.words.find(*words), gain
 
 
 def _grow(named: DataFrame, level: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
@@ -299,24 +327,26 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     """The tree of all rows of df (a null text is empty), and the table of all words' counts (key, n)."""
     context = df.sparkSession.sparkContext
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = store.cut(_counted(texts, lambda data, offsets: _words(data, offsets)[0]), "words")
+    counts = store.cut(_counted(texts), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows
-    hashes = common["key"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, n = hashes[order], common["n"].to_numpy()[order]
+    words = Known()
+    words.add(*(common[c].to_numpy().view(np.uint64) for c in ("a", "b")), np.arange(common.num_rows))
+    n = common["n"].to_numpy()
 
     denominator = total + ADD * (kinds + 1)
     # as many texts end as begin
-    edge = counts.filter(F.col("key") == int(END)).select(F.lit(int(BEFORE)).cast("long").alias("key"), "n")
-    level = counts.filter(F.col("n") >= LEAST).unionByName(edge).select("key", "n", ((F.col("n") + ADD) / denominator).alias("p"))
+    edge = counts.filter((F.col("a") == int(END[0, 0])) & (F.col("b") == int(END.view(np.int64)[1, 0]))).select(F.lit(int(BEFORE)).cast("long").alias("key"), "n")
+    # runs of one word go by its hash: words that share one are one run
+    level = counts.filter(F.col("n") >= LEAST).groupBy("key").agg(F.sum("n").alias("n")).unionByName(edge).select("key", "n", ((F.col("n") + ADD) / denominator).alias("p"))
+    level = store.cut(level, "level")
     filters = [_filter(level)]
     tables, tagged = [], []
     for d in range(1, depth + 1):
         shared = context.broadcast(filters[-1])
 
         def keys_of(data, offsets, shared=shared, d=d):
-            tokens, first = _words(data, offsets)
+            tokens, first, _ = _words(data, offsets)
             runs = _runs(tokens, first, d)
             # no run is more frequent than the shorter runs in it
             ok = (runs[d] > 0) & _holds(shared.value, runs[d - 1])
@@ -335,7 +365,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
         filters, tagged = shared.value
         data, offsets, _ = buffers(batch.column(0))
         for i, j in chunks(offsets):
-            tokens, first = _words(data, offsets[i : j + 1])
+            tokens, first, _ = _words(data, offsets[i : j + 1])
             runs = _runs(tokens, first, depth)
             tag = np.repeat(_tags(tokens, first), np.diff(first))
             for d in range(1, depth + 1):
@@ -360,7 +390,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     keys = place["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     values = [place[c].to_numpy()[order] for c in ("entry", "alpha")]
-    return Tree(hashes, n, int(total), int(kinds), depth, keys[order], *values, _filter(nodes), float(start), nodes), counts
+    return Tree(words, n, int(total), int(kinds), depth, keys[order], *values, _filter(nodes), float(start), nodes), counts
 
 
 def _tags(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -368,64 +398,131 @@ def _tags(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(tokens, first[:-1])) >> (np.uint64(64) - TAG) if len(first) > 1 else np.zeros(0, np.uint64)
 
 
+def _answered(asked: DataFrame, table: DataFrame, words: bool) -> DataFrame:
+    """(chunk, words, part, value): for each blob of keys asked for, the values that the table (part, a, b, value) has for them, NaN where none."""
+
+    def answer(questions: pa.Table, rows: pa.Table) -> pa.Table:
+        known = Known()
+        known.add(*(rows[c].to_numpy().view(np.uint64) for c in ("a", "b")), np.arange(rows.num_rows))
+        values = np.append(rows["value"].to_numpy(), np.nan)
+        out = []
+        for blob in questions["keys"]:
+            keys = np.frombuffer(blob.as_buffer(), np.uint64)
+            keys = keys.reshape(2, -1) if words else np.stack([keys, np.zeros_like(keys)])
+            out.append(values[known.find(*keys)].tobytes())
+        return pa.table({"chunk": questions["chunk"], "words": pa.array([words] * len(out), pa.bool_()), "part": questions["part"], "value": pa.array(out, pa.binary())})
+
+    own = asked.filter(F.col("words") == words).select("chunk", "part", "keys")
+    return own.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "chunk long, words boolean, part int, value binary")
+
+
 def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns of each row with n_tokens, n_known, train_tokens, base_score and score.
 
     Both scores are log10 probabilities of a text with its end: base_score by
     the root alone, score by the tree. A null text is empty: its end is its
     one token. Repeated rows each give a row. Without training tokens every
-    token has probability 1 / 1 by the root of one kind.
+    token has probability 1 / 1 by the root of one kind. A kept column that
+    has the name of a score gives way to it.
     """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
     shared = df.sparkSession.sparkContext.broadcast(replace(tree, nodes=None))
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-    kept = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    kinds = {f"k{i}": df.schema[c].dataType.simpleString() for i, c in enumerate(keep)}
+    bits = max(3, (tree.total // RANGE).bit_length())  # of the ranges that answer
 
-    def measure(batch: pa.RecordBatch):
+    def measured(batches):
         own = shared.value
-        logs = np.log10(own.counts + ADD)
-        values = own.entry + own.alpha
-        data, offsets, _ = buffers(batch.column(1 + len(keep)))
-        out = [[] for _ in range(4)]
-        rare, times, lens = [], [], []
-        for i, j in chunks(offsets):
-            tokens, first = _words(data, offsets[i : j + 1])
-            at = _search(own.words, tokens)
-            known = at >= 0
-            out[0].append(np.diff(first))
-            out[1].append(sums(known.astype(np.int64), first))
-            out[2].append(np.add.reduceat(np.where(known, logs[at] if len(logs) else 0.0, 0.0), first[:-1]))
-            text_of = np.repeat(np.arange(j - i), np.diff(first))
-            text, other = [text_of[~known]], [tokens[~known]]
-            gain = np.full(j - i, own.start)
-            for d, run in enumerate(_runs(tokens, first, own.depth)):
-                maybe = np.flatnonzero((run > 0) & _holds(own.held, run))
-                here = _search(own.keys, run[maybe])
-                found = here >= 0
-                gain += np.bincount(text_of[maybe[found]], values[here[found]], j - i)
-                if d:  # words that aren't counted in place are there already
-                    text.append(text_of[maybe[~found]])
-                    other.append(run[maybe[~found]])
-            out[3].append(gain)
-            text, other = np.concatenate(text), np.concatenate(other)
-            order = np.lexsort((other, text))
-            text, other = text[order], other[order]
-            new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (other[1:] != other[:-1])])) if len(text) else np.zeros(0, np.int64)
-            rare.append(other[new])
-            times.append(np.diff(np.concatenate([new, [len(text)]])))
-            lens.append(np.bincount(text[new], minlength=j - i))
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (np.concatenate(rare).view(np.int64), np.concatenate(times).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.concatenate(x)) for x in out), *lists], names)
-
-    names = ["uid", *[f"k{i}" for i in range(len(keep))], "n_tokens", "n_common", "logs", "gain", "rare", "times"]
-    measured = arrow_map(rows, measure, ", ".join(["uid long", *kept, "n_tokens long, n_common long, logs double, gain double, rare array<long>, times array<int>"]))
-    measured = store.cut(measured, "measured")
-    others = measured.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
+        logs, values = np.log10(own.counts + ADD), own.entry + own.alpha
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        docs, words, runs = [], [], []  # of texts: columns, and the numbers of their questions' places; keys asked for
+        for batch in batches:
+            data, offsets, _ = buffers(batch.column(len(keep)))
+            for i, j in chunks(offsets):
+                tokens, first, keys = _words(data, offsets[i : j + 1])
+                at = own.words.find(*keys)
+                known = at >= 0
+                text_of = np.repeat(np.arange(j - i), np.diff(first))
+                base = np.bincount(text_of[known], logs[at[known]], j - i).astype(float)  # without words, of integers
+                gain = np.full(j - i, own.start)
+                place, key = [], []
+                for run in _runs(tokens, first, own.depth):
+                    maybe = np.flatnonzero((run > 0) & _holds(own.held, run))
+                    here = _search(own.keys, run[maybe])
+                    found = here >= 0
+                    gain += np.bincount(text_of[maybe[found]], values[here[found]], j - i)
+                    place.append(text_of[maybe[~found]])
+                    key.append(run[maybe[~found]])
+                place, key = np.concatenate(place), np.concatenate(key)
+                order = np.argsort(place, kind="stable")
+                docs.append(([c.slice(i, j - i) for c in batch.columns[:-1]], np.diff(first), np.bincount(text_of[known], minlength=j - i), base, gain, np.bincount(text_of[~known], minlength=j - i), np.bincount(place, minlength=j - i)))
+                words.append(keys[:, ~known])
+                runs.append(key[order])
+                held += len(key) + int((~known).sum())
+                if held > ASKED:
+                    yield from flushed(chunk, docs, words, runs)
+                    chunk, held, docs, words, runs = chunk + 1, 0, [], [], []
+        if docs:
+            yield from flushed(chunk, docs, words, runs)
+
+    names = ["chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of", "words", "part", "keys"]
+    schema = ", ".join(["chunk long", *(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_common long, logs double, gain double, words_of array<int>, runs_of array<int>, words boolean, part int, keys binary"])
+
+    def flushed(chunk: int, docs: list, words: list, runs: list):
+        asked = np.concatenate(words, axis=1)
+        at, own = grouped(*asked)
+        h = _hashes(asked[:, at])
+        order = np.argsort(h)  # questions go by range
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        asked, words_of, ranges = asked[:, at[order]], number[own], h[order] >> np.uint64(56 - bits)
+        keys, runs_of = np.unique(np.concatenate(runs), return_inverse=True)
+        w = r = 0
+        for columns, n, common, logs, gain, nw, nr in docs:
+            lists = []
+            for of, at_, count in ((words_of, w, nw), (runs_of, r, nr)):
+                ends = np.concatenate([[0], np.cumsum(count)])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(of[at_ : at_ + ends[-1]].astype(np.int32))))
+            w, r, k = w + int(nw.sum()), r + int(nr.sum()), len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *columns, pa.array(n), pa.array(common), pa.array(logs), pa.array(gain), *lists, pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        for is_word, part, rows_ in ((True, ranges, asked), (False, keys >> np.uint64(56 - bits), keys[None])):
+            new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            blobs = [rows_[:, a:b].tobytes() for a, b in zip(new, np.append(new, len(part))[1:], strict=True)]
+            k = len(blobs)
+            empty = [pa.nulls(k, c.type) for c in docs[0][0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *empty, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int32())), pa.array([is_word] * k, pa.bool_()), pa.array(part[new].astype(np.int32)), pa.array(blobs, pa.binary())], names)
+
+    table = store.cut(over_batches(rows, measured, schema), "measured")
     bound = MIN_WORD * tree.total
-    addends = counts.filter(F.col("n") < bound).select("key", F.log10(F.col("n") + ADD).alias("base"), F.lit(0.0).alias("value")).unionByName(tree.nodes.filter(F.col("n") < bound).select("key", F.lit(None).cast("double").alias("base"), (F.col("entry") + F.col("alpha")).alias("value")))
-    known = others.join(addends, "key")
-    summed = known.groupBy("uid").agg(F.sum(F.col("times") * F.col("base")).alias("more"), F.sum(F.when(F.col("base").isNotNull(), F.col("times"))).alias("n_rare"), F.sum(F.col("times") * F.col("value")).alias("added"))
-    out = measured.drop("rare", "times").join(summed, "uid", "left").na.fill(0, ["n_rare"]).na.fill(0.0, ["more", "added"])
-    n_known = F.col("n_common") + F.col("n_rare")
-    base = F.col("logs") + F.col("more") + (F.col("n_tokens") - n_known) * float(np.log10(ADD)) - F.col("n_tokens") * float(np.log10(tree.total + ADD * (tree.kinds + 1)))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", n_known.alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.col("added")).alias("score"))
+    range_ = F.shiftrightunsigned("key", 56 - bits).cast("int").alias("part")
+    rare = counts.filter(F.col("n") < bound).select(range_, "a", "b", F.log10(F.col("n") + ADD).alias("value"))
+    asked = table.filter("part IS NOT NULL")
+    answers = _answered(asked, rare, True)
+    if tree.nodes is not None:
+        nodes = tree.nodes.filter(F.col("n") < bound).select(range_, F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), (F.col("entry") + F.col("alpha")).alias("value"))
+        answers = answers.unionByName(_answered(asked, nodes, False))
+    answers = store.cut(answers, "answers")
+
+    log_add, log_total = float(np.log10(ADD)), float(np.log10(tree.total + ADD * (tree.kinds + 1)))
+    total = tree.total
+
+    def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by([("part", "ascending")])
+        value = {w: np.concatenate([np.zeros(0), *(np.frombuffer(v.as_buffer(), float) for v, own in zip(found["value"], found["words"], strict=True) if own.as_py() == w)]) for w in (True, False)}
+        each = []
+        for column, w in (("words_of", True), ("runs_of", False)):
+            lists = docs[column].combine_chunks()
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            own = value[w][np.asarray(lists.values)[ends[0] : ends[-1]]] if ends[-1] > ends[0] else np.zeros(0)
+            there = ~np.isnan(own)
+            each.append((sums(np.where(there, own, 0.0), ends - ends[0]), sums(there.astype(np.int64), ends - ends[0])))
+        n = docs["n_tokens"].to_numpy()
+        known = docs["n_common"].to_numpy() + each[0][1]
+        base = docs["logs"].to_numpy() + each[0][0] + (n - known) * log_add - n * log_total
+        out = [*(docs[k] for k in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(base + docs["gain"].to_numpy() + each[1][0])]
+        return pa.table(out, names=[*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    docs = table.filter("part IS NULL").select("chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of")
+    out = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))
+    return out.toDF(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
