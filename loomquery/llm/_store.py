@@ -11,26 +11,12 @@ import atexit
 import pathlib
 import shutil
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 import loomquery
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a folder of this machine only without a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
-    local = tempfile.mkdtemp(prefix="loomquery-")
-    atexit.register(shutil.rmtree, local, True)
-    folder = "file://" + local
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from loomquery.sources.folders import own_folder, remove
 
 
 _shipped: set[str] = set()
@@ -57,7 +43,7 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = own_folder(spark, name)  # removed when the application ends: results are read from it
         self.count = 0
 
     def path(self, name: str) -> str:
@@ -76,12 +62,7 @@ class Store:
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         for table in tables:
-            self.remove(table._loomquery_path)
-
-    def remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, table._loomquery_path)
 
 
 #: Bytes of an Arrow batch that a function is given at once.

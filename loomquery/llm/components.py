@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star.
 
 Every half-step is one grouped minimum and one join, so a node's neighbours
-never meet in one place. Each round's edges are written to the shared folder.
+never meet in one place: the join's sides are dealt anew for it, so that the
+links of a star's centre can be split over tasks where they are many. Each
+round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,17 +14,22 @@ from pyspark.sql import functions as F
 from loomquery.llm._store import Store
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour of each node, as if no one knew that it's dealt by node."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.coalesce("u", "m").alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down)
     moved = down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 

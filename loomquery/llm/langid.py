@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loomquery.llm._store import Store, arrow_map, over_batches
 from loomquery.llm._text import buffers, chunks, mix, sums
 
-#: Least slots of the filters, slots for each n-gram of the language with most, probes per n-gram.
-SLOTS, ROOM, PROBES = 1 << 18, 8, 3
+#: Least and most slots of the filters, slots for each n-gram of the language with most, probes per n-gram.
+SLOTS, MOST, ROOM, PROBES = 1 << 18, 1 << 23, 8, 3
 NONE = "und"
 
 #: ASCII letters lowered, bytes beyond ASCII as they are, all else a space.
@@ -92,7 +92,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", slots:
 
     Null and empty texts add nothing. What reaches the driver is bounded by
     the number of slots, not by the rows; slots follow the number of different
-    n-grams, which four bytes bound.
+    n-grams up to MOST (64 MB for every 64 languages). Beyond that all n-grams
+    still enter, and the counts' correction takes in the larger fill.
     """
     spark = df.sparkSession
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -127,7 +128,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", slots:
     counts = store.cut(counts, "counts")
     kinds = counts.groupBy("lang").agg(F.count("*").alias("kinds")).orderBy("lang").collect()  # a row for each language
     langs = [r.lang for r in kinds]
-    slots = max(slots, 1 << (ROOM * max((r.kinds for r in kinds), default=1) - 1).bit_length())
+    slots = max(slots, min(MOST, 1 << (ROOM * max((r.kinds for r in kinds), default=1) - 1).bit_length()))
     masks = np.zeros((max(1, -(-len(langs) // 64)), slots), np.uint64)
     if langs:
         code = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
@@ -150,7 +151,9 @@ def identify(df: DataFrame, filters: Filters, *keep: str, text_col: str = "text"
     A null text, one without a letter, and any text when no language was
     learned give ``und`` with score 0. A text of which no n-gram is known
     gives the first language by name with score 0. Ties go to the first name.
+    A kept column named lang_pred or score gives way to the result.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     shared = df.sparkSession.sparkContext.broadcast(filters)  # masks: slots * 8 bytes for every 64 languages
     rows = df.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -31,8 +31,8 @@ from loomquery.llm.components import components
 BANDS, ROWS = 48, 6
 #: Matching minima below which a pair's similarity is under 0.8 but for six standard errors.
 SLACK = 6.0
-#: Members up to which a bucket pairs all that aren't connected, and texts of a block beyond that.
-SMALL, BLOCK = 16, 1024
+#: Members up to which a bucket pairs all that aren't connected; texts and shingles of a block beyond that, on average.
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 1024, 1 << 20
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 1 << 23
 
@@ -190,9 +190,10 @@ def _in_blocks(members: DataFrame, sigs: DataFrame, docs: DataFrame, store: Stor
     kind = docs.schema["id"].dataType.simpleString()
     least = _least(minima_count, percent)
     groups = store.cut(components(members.select(F.col("low_id").alias("a"), F.col("id").alias("b")), store), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    labels = members.groupBy("id").agg(F.min("component").alias("label"))
-    dealt = groups.withColumnRenamed("node", "id").join(sizes, "component").join(labels, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    labels = members.groupBy("id").agg(F.min("component").alias("label"), F.max("n").alias("n"))
+    named = groups.withColumnRenamed("node", "id").join(labels, "id")
+    sizes = named.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = named.drop("n").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = store.cut(dealt, "dealt")
     texts = _texts_of(dealt.select("id"), docs, store)
     rows = dealt.join(sigs.select("id", "sig"), "id").join(texts, "id")

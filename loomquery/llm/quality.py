@@ -161,7 +161,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: Discriminant, *keep: str, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns of each row with score and predicted (1 if score >= threshold). Null and empty texts score alike."""
+    """The kept columns of each row with score and predicted (1 if score >= threshold). Null and empty texts score alike.
+
+    A kept column of one of these names gives way to it. Repeated rows each
+    give a row; an empty table gives an empty result.
+    """
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     rows = df.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 

@@ -182,28 +182,39 @@ def reassemble(found: DataFrame) -> DataFrame:
     Records that repeat, id and all, are joined once and returned as often as
     their first segment occurs. A record whose segments don't add up to
     numbers 1 to n or to the total length fails the job: an archive with a
-    lost segment can't be given back whole.
+    lost segment can't be given back whole. Without records it is empty.
     """
     whole = found.filter("number IS NULL").select("kind", "page", "url", "digest", "refers", "block")
+    first = F.col("number") == 1
     parts = found.filter("number IS NOT NULL").groupBy(F.coalesce("origin", "record").alias("id"), "number").agg(
         F.first("block").alias("block"), F.max("total").alias("total"), F.count("*").alias("copies"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("page", "url", "digest")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("kind", "page", "url", "digest", "refers")],
     )
     joined = parts.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
-        F.max(F.when(F.col("number") == 1, F.col("copies"))).alias("copies"), *[F.max(c).alias(c) for c in ("page", "url", "digest")],
-    ).withColumn("block", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))"))
-    good = (F.octet_length("block") == F.col("total")) & (F.col("parts")[F.size("parts") - 1]["number"] == F.size("parts"))
-    block = F.when(F.coalesce(good, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing: "), F.col("id"))).cast("binary"))
-    joined = joined.select(F.lit("response").alias("kind"), "page", "url", "digest", F.lit(None).cast("long").alias("refers"), block.alias("block"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    return whole.unionByName(joined)
+        F.max(F.when(first, F.col("copies"))).alias("copies"), *[F.max(F.when(first, F.col(c))).alias(c) for c in ("kind", "page", "url", "digest", "refers")],
+    )
+
+    def join(batch: pa.RecordBatch):
+        out = []
+        for r in batch.to_pylist():
+            block = b"".join(p["block"] or b"" for p in r["parts"])
+            if [p["number"] for p in r["parts"]] != list(range(1, len(r["parts"]) + 1)) or len(block) != r["total"]:
+                raise ValueError(f"segments are missing: {r['id']}")
+            out += [{"kind": r["kind"], "page": r["page"], "url": r["url"], "digest": r["digest"], "refers": r["refers"], "block": block}] * r["copies"]
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("kind", pa.string()), ("page", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary())])
+    return whole.unionByName(arrow_map(joined, join, "kind string, page long, url string, digest string, refers long, block binary"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per response or revisit in the archives: the page, its payload (null for a revisit), length, digest, type and the page it refers to.
 
     Lengths and digests of responses are taken from the decoded payload, and
-    digest_ok says whether the digest is the one in the header.
+    digest_ok says whether the digest is the one in the header. Records of
+    other kinds (warcinfo, request, metadata, …) are passed over; archives
+    without records give an empty result.
     """
 
     def decode(batch: pa.RecordBatch):
@@ -220,4 +231,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     names = [x.split()[0] for x in _OUT.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-    return arrow_map(reassemble(records(spark, path)), decode, _OUT)
+    return arrow_map(reassemble(records(spark, path)).filter("kind IN ('response', 'revisit')"), decode, _OUT)

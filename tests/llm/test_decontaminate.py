@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from loomquery.llm import decontaminate as dc
 from tests.llm.samples import frame, lowered, prose, texts
 
@@ -40,8 +42,8 @@ def tables(spark):
 def test_against_brute_force(spark):
     rows, items, table = tables(spark)
     want = brute(rows, [x for x in items if x[0] is not None])
-    for size in (dc.ITEM_BYTES, 60):  # in one set and in many
-        got = dc.digest(dc.scan(frame(spark, rows), table, item_bytes=size)).collect()
+    for size in (dc.SET_BYTES, 400):  # in one set and in many
+        got = dc.digest(dc.scan(frame(spark, rows), table, set_bytes=size)).collect()
         assert sorted([tuple(r) for r in got], key=str) == want
 
 
@@ -68,3 +70,17 @@ def test_without_rows(spark):
     assert dc.scan(frame(spark, []), table).count() == 0
     assert dc.digest(dc.scan(frame(spark), table.limit(0))).filter("n_hit > 0 OR contaminated").count() == 0
     assert dc.decontaminate(frame(spark), table.limit(0)).count() == len(texts())
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows are told apart by their words where their hashes are one."""
+    many = dc.Windows([(i, prose(i, 400)) for i in range(50)], 8)
+    assert many.nbytes < 50 * 400 * dc.WORD_BYTES + (1 << 20)
+    texts_ = [(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "a b c d e f g h"), (4, "q r s t u v w x y"), (5, "short one")]
+    for one in (False, True):
+        if one:
+            monkeypatch.setattr(dc, "window_hashes", lambda h, n: np.full(max(0, len(h) - n + 1), 7, np.uint64))
+        own = dc.Windows(texts_, 8)
+        raw = "x a b c d e f g h y short one i j k l m n o z r s t u v w x y".encode()
+        hit, found = own.scan(dc.split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), dc.ALNUM))
+        assert found == [{1, 3, 4, 5}] and hit.sum() == 18

@@ -83,6 +83,7 @@ def test_quality_edges(spark):
     assert len(empty) == 1
     assert quality.score(frame(spark, []), model, "doc_id").count() == 0
     assert quality.keep_good(df, model).columns == df.columns
+    assert quality.score(df, model, "doc_id", "score").columns == ["doc_id", "score", "predicted"]
 
 
 def test_quality_matches_plain_densities():
@@ -114,6 +115,7 @@ def test_language_edges(spark):
     for i in (30, 31, 32, 38):
         assert (got[i].lang_pred, got[i]["score"]) == ("und", 0.0)
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[42].lang_pred in ("de", "en")
+    assert langid.identify(df.withColumn("lang_pred", F.lit(1)), filters, "doc_id", "score", "lang_pred").columns == ["doc_id", "lang_pred", "score"]
     none = langid.train(df.limit(0))
     assert {r.lang_pred for r in langid.identify(df, none, "doc_id").collect()} == {"und"}
     assert langid.identify(frame(spark, []), filters, "doc_id").count() == 0

@@ -54,6 +54,25 @@ def test_a_lost_segment_fails(spark):
         warc.reassemble(found).collect()
 
 
+def test_other_kinds_are_passed_over(spark):
+    path = Store(spark, "test").path("archives")
+    warc.write(pages(spark), path, segment=5000)
+    before = warc.read(spark, path).count()
+    extra = b"".join(warc._record(kind, f"{i:08}-0000-0000-0000-000000000000", b"software: x\r\n", []) for i, kind in enumerate(("warcinfo", "request", "metadata", "resource")))
+    (pathlib.Path(path.removeprefix("file://")) / "more.gz").write_bytes(gzip.compress(extra))
+    got = warc.read(spark, path)
+    assert got.count() == before and {r.record_type for r in got.collect()} == {"response", "revisit"}
+    assert warc.records(spark, path).filter("kind = 'warcinfo'").count() == 1
+
+
+def test_a_record_of_many_segments(spark):
+    path = Store(spark, "test").path("archives")
+    payload = "é中 " * 200_000
+    warc.write(spark.createDataFrame([(1, "u", payload)], "page_id long, url string, html string"), path, segment=1000)
+    row = warc.read(spark, path).first()
+    assert bytes(row.payload).decode() == payload and row.digest_ok
+
+
 def test_empty_table(spark):
     path = Store(spark, "test").path("archives")
     warc.write(pages(spark).limit(0), path)
