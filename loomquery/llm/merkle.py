@@ -107,11 +107,11 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int | None = Non
     steps = F.array(*[F.lit(1 << k) for k in range(max(1, parts).bit_length(), -1, -1)])
     # the last bound up to the row, by halving
     range_ = F.aggregate(steps, F.lit(0), lambda a, s: F.when(F.get(F.col("bounds"), a + s) <= F.col("at"), a + s).otherwise(a))
-    rows = rows.withColumn("bounds", bounds).withColumn("range", range_).drop("bounds").withColumn("print", fingerprint(F.col("text")))
-    order = Window.partitionBy("range").orderBy("at")
-    next_ = F.struct("text", "print")
-    led = rows.withColumn("next", F.lead(next_).over(order))
-    heads = rows.groupBy("range").agg(F.min_by(F.struct("text", "print"), "at").alias("head"))
+    rows = rows.withColumn("bounds", bounds).withColumn("range", range_).drop("bounds")
+    # fingerprints are made where rows have met, so they don't travel
+    met = rows.repartition("range").withColumn("print", fingerprint(F.col("text")))
+    led = met.withColumn("next", F.lead(F.struct("text", "print")).over(Window.partitionBy("range").orderBy("at")))
+    heads = rows.groupBy("range").agg(F.min_by("text", "at").alias("text")).withColumn("head", F.struct("text", fingerprint(F.col("text")).alias("print")))
     ring = Window.orderBy("range")  # a row a range
     heads = heads.withColumn("wrapped", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring))).select("range", "wrapped")
     out = led.join(heads, "range").withColumn("next", F.coalesce("next", "wrapped"))
