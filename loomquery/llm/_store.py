@@ -64,6 +64,10 @@ class Store:
         for table in tables:
             remove(self.spark, table._loomquery_path)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        """Remove the part of a table (column=value) that nothing reads any more."""
+        remove(self.spark, f"{table._loomquery_path}/{part}")
+
 
 #: Bytes of an Arrow batch that a function is given at once.
 SLICE_BYTES = 8 << 20

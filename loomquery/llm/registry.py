@@ -109,7 +109,9 @@ def op5_suffix_lm(spark, sf_dir):
     store = Store(spark, "suffix_lm")
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(10))
     tree, counts = suffix_lm.train(docs.filter(~F.col("held_out")), store)
-    return suffix_lm.score(docs, tree, counts, store, "doc_id", "held_out")
+    out = suffix_lm.score(docs, tree, counts, store, "doc_id", "held_out")
+    store.drop(counts, tree.nodes)  # all that was asked of them is answered
+    return out
 
 
 @query()

@@ -340,7 +340,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     # runs of one word go by its hash: words that share one are one run
     level = counts.filter(F.col("n") >= LEAST).groupBy("key").agg(F.sum("n").alias("n")).unionByName(edge).select("key", "n", ((F.col("n") + ADD) / denominator).alias("p"))
     level = store.cut(level, "level")
-    filters = [_filter(level)]
+    filters, levels = [_filter(level)], [level]
     tables, tagged = [], []
     for d in range(1, depth + 1):
         shared = context.broadcast(filters[-1])
@@ -379,12 +379,13 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     parts = []
     for d, table in enumerate(tables, 1):
         level, kept = _grow(table.select("key", "n").join(names.filter(F.col("d") == d).drop("d"), "key"), level, store)
+        levels.append(level)
         parts += [level.filter("entry IS NOT NULL").select("key", "n", "entry", F.lit(0.0).alias("alpha")), kept.select("key", "n", F.lit(0.0).alias("entry"), "alpha")]
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part)
     nodes = store.cut(nodes.groupBy("key").agg(F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("alpha").alias("alpha")), "nodes")
-    store.drop(names, *tables)
+    store.drop(names, *tables, *levels)
     start = nodes.filter(F.col("key") == int(BEFORE)).agg(F.coalesce(F.sum("alpha"), F.lit(0.0))).first()[0]
     place = nodes.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows a length
     keys = place["key"].to_numpy().view(np.uint64)
@@ -493,16 +494,18 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
             empty = [pa.nulls(k, c.type) for c in docs[0][0]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *empty, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int32())), pa.array([is_word] * k, pa.bool_()), pa.array(part[new].astype(np.int32)), pa.array(blobs, pa.binary())], names)
 
-    table = store.cut(over_batches(rows, measured, schema), "measured")
+    # questions go as soon as they are answered
+    table = store.cut(over_batches(rows, measured, schema).withColumn("asked", F.col("part").isNotNull()), "measured", "asked")
     bound = MIN_WORD * tree.total
     range_ = F.shiftrightunsigned("key", 56 - bits).cast("int").alias("part")
     rare = counts.filter(F.col("n") < bound).select(range_, "a", "b", F.log10(F.col("n") + ADD).alias("value"))
-    asked = table.filter("part IS NOT NULL")
+    asked = table.filter("asked")
     answers = _answered(asked, rare, True)
     if tree.nodes is not None:
         nodes = tree.nodes.filter(F.col("n") < bound).select(range_, F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), (F.col("entry") + F.col("alpha")).alias("value"))
         answers = answers.unionByName(_answered(asked, nodes, False))
     answers = store.cut(answers, "answers")
+    store.drop_part(table, "asked=true")
 
     log_add, log_total = float(np.log10(ADD)), float(np.log10(tree.total + ADD * (tree.kinds + 1)))
     total = tree.total
@@ -523,6 +526,6 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
         out = [*(docs[k] for k in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(base + docs["gain"].to_numpy() + each[1][0])]
         return pa.table(out, names=[*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    docs = table.filter("part IS NULL").select("chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of")
+    docs = table.filter("NOT asked").select("chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of")
     out = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))
     return out.toDF(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
