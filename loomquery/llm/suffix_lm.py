@@ -29,12 +29,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm._store import Store, arrow_map, over_batches
-from loomquery.llm._text import SPACED, Known, buffers, chunks, grouped, hashes_of, mix, split_words, sums
+from loomquery.llm._text import SPACED, Known, buffers, chunks, grouped, hashes_of, mix, split_words
 
 ADD = 0.1
 #: Longest context in words; least share in all tokens of a word or run that is counted in place.
@@ -65,6 +66,28 @@ def _search(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in few bytes: the first bytes of all, then the second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: pa.Scalar, dtype: type = np.uint64) -> np.ndarray:
+    raw = blob.as_buffer()
+    n, size = int.from_bytes(raw[:8].to_pybytes(), "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def _packed_up(values: np.ndarray) -> bytes:
+    """Numbers that ascend, by their differences."""
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _unpacked_up(blob: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpacked(blob), dtype=np.uint64)
+
+
 class _Counter:
     """Counts of 64-bit keys, merged as they come; keys that differ in the lowest bits only are one, the least."""
 
@@ -127,7 +150,7 @@ def _counted(texts: DataFrame) -> DataFrame:
         keys, n = merged(parts)
         for i in range(0, len(n), 1 << 17):
             k = keys[:, i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (k[0].copy(), k[1].copy(), _hashes(k))), pa.array(n[i : i + (1 << 17)])], ["a", "b", "key", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.copy().view(np.int64)) for x in k), pa.array(n[i : i + (1 << 17)])], ["a", "b", "n"])
 
     def rows(batches):
         parts, held = [], 0
@@ -146,7 +169,13 @@ def _counted(texts: DataFrame) -> DataFrame:
         if parts:
             yield from flushed(parts)
 
-    return over_batches(texts, rows, "a long, b long, key long, n long").groupBy("a", "b").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
+    def hashed(batch: pa.RecordBatch):
+        a, b, n = batch.columns
+        keys = (np.asarray(x).view(np.uint64) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(_hashes(keys).view(np.int64)), n], ["a", "b", "key", "n"])
+
+    met = over_batches(texts, rows, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return arrow_map(met, hashed, "a long, b long, key long, n long")
 
 
 def _frequent(texts: DataFrame, keys_of, total: int) -> DataFrame:
@@ -170,14 +199,14 @@ def _frequent(texts: DataFrame, keys_of, total: int) -> DataFrame:
             ends = np.append(ends, len(keys))
             full = np.flatnonzero(ends[1:] > ends[:-1])
             for some in np.array_split(full, max(1, len(full) // 16)):
-                columns = [pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in some], pa.binary()) for x in (keys, n.astype(np.int32))]
+                columns = [pa.array([pack(x[ends[p] : ends[p + 1]]) for p in some], pa.binary()) for pack, x in ((_packed_up, keys), (_packed, n.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *columns], ["part", "keys", "n"])
 
     def meet(batches):
         held = _Counter(TAG)
         for batch in batches:
             for keys, n in zip(batch.column(1), batch.column(2), strict=True):
-                held.put(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int32).astype(np.int64))
+                held.put(_unpacked_up(keys), _unpacked(n, np.int32).astype(np.int64))
         if held.parts:
             held.merge()
             keys, n = held.parts[0]
@@ -308,17 +337,17 @@ def _grow(named: DataFrame, level: DataFrame, store: Store) -> tuple[DataFrame,
     joined = named.join(level.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx").join(level.select(F.col("key").alias("suffix"), F.col("p").alias("above")), "suffix")
     ratio = F.col("n") / F.col("total") / F.col("above")
     joined = joined.withColumn("own", (ratio >= RATIO) | (ratio <= 1 / RATIO)).withColumn("smooth", (F.col("n") + PRIOR * F.col("above")) / (F.col("total") + PRIOR))
-    joined = store.cut(joined.select("key", "n", "ctx", "total", "above", "own", "smooth"), "runs")
+    joined = store.cut(joined.select("key", "n", "ctx", "total", "above", "own", "smooth"), "runs", clean=True)
     tried = joined.filter("own").groupBy("ctx").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.sum("above").alias("above"), F.count("*").alias("symbols"), F.sum(F.col("n") * F.log(F.col("smooth") / F.col("above"))).alias("gain"))
     others = F.greatest(F.lit(0), F.col("total") - F.col("n"))
     tried = tried.filter("above < 1 - 1e-9").withColumn("scale", (others + PRIOR * (1 - F.col("above"))) / (F.col("total") + PRIOR) / (1 - F.col("above")))
     passed = F.col("gain") + others * F.log("scale") > GAIN + 0.5 * F.log("total") * F.col("symbols")
-    kept = store.cut(tried.filter(passed).select("ctx", "total", "scale"), "contexts")
+    kept = store.cut(tried.filter(passed).select("ctx", "total", "scale"), "contexts", clean=True)
     rows = joined.join(kept.select("ctx", "scale"), "ctx", "left")
     inside = F.col("scale").isNotNull()
     p = F.when(inside & F.col("own"), F.col("smooth")).when(inside, F.col("scale") * F.col("above")).otherwise(F.col("above"))
     entry = F.when(inside & F.col("own"), F.log10(F.col("smooth") / F.col("above")) - F.log10("scale"))
-    out = store.cut(rows.select("key", "n", p.alias("p"), entry.alias("entry")), "level")
+    out = store.cut(rows.select("key", "n", p.alias("p"), entry.alias("entry")), "level", clean=True)
     store.drop(joined)
     return out, kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), F.log10("scale").alias("alpha"))
 
@@ -327,7 +356,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     """The tree of all rows of df (a null text is empty), and the table of all words' counts (key, n)."""
     context = df.sparkSession.sparkContext
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = store.cut(_counted(texts), "words")
+    counts = store.cut(_counted(texts), "words", clean=True)
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows
     words = Known()
@@ -339,7 +368,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     edge = counts.filter((F.col("a") == int(END[0, 0])) & (F.col("b") == int(END.view(np.int64)[1, 0]))).select(F.lit(int(BEFORE)).cast("long").alias("key"), "n")
     # runs of one word go by its hash: words that share one are one run
     level = counts.filter(F.col("n") >= LEAST).groupBy("key").agg(F.sum("n").alias("n")).unionByName(edge).select("key", "n", ((F.col("n") + ADD) / denominator).alias("p"))
-    level = store.cut(level, "level")
+    level = store.cut(level, "level", clean=True)
     filters, levels = [_filter(level)], [level]
     tables, tagged = [], []
     for d in range(1, depth + 1):
@@ -353,7 +382,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
             ok &= _holds(shared.value, _shifted(runs[d - 1], first, d))
             return (runs[d][ok] << TAG) | np.repeat(_tags(tokens, first), np.diff(first))[ok]
 
-        table = store.cut(_frequent(texts, keys_of, total), "counts")
+        table = store.cut(_frequent(texts, keys_of, total), "counts", clean=True)
         shared.unpersist()
         tables.append(table)
         filters.append(_filter(table))
@@ -375,7 +404,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
                 at = at[once]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, _shifted(runs[d - 1], first, d)[at], runs[d - 1][at]))], ["d", "key", "ctx", "suffix"])
 
-    names = store.cut(arrow_map(texts, name, "d int, key long, ctx long, suffix long").dropDuplicates(["d", "key"]), "names")
+    names = store.cut(arrow_map(texts, name, "d int, key long, ctx long, suffix long").dropDuplicates(["d", "key"]), "names", clean=True)
     parts = []
     for d, table in enumerate(tables, 1):
         level, kept = _grow(table.select("key", "n").join(names.filter(F.col("d") == d).drop("d"), "key"), level, store)
@@ -384,7 +413,7 @@ def train(df: DataFrame, store: Store, text_col: str = "text", depth: int = DEPT
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part)
-    nodes = store.cut(nodes.groupBy("key").agg(F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("alpha").alias("alpha")), "nodes")
+    nodes = store.cut(nodes.groupBy("key").agg(F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("alpha").alias("alpha")), "nodes", clean=True)
     store.drop(names, *tables, *levels)
     start = nodes.filter(F.col("key") == int(BEFORE)).agg(F.coalesce(F.sum("alpha"), F.lit(0.0))).first()[0]
     place = nodes.filter(F.col("n") >= MIN_WORD * total).toArrow()  # at most 1 / MIN_WORD rows a length
@@ -399,22 +428,20 @@ def _tags(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(tokens, first[:-1])) >> (np.uint64(64) - TAG) if len(first) > 1 else np.zeros(0, np.uint64)
 
 
-def _answered(asked: DataFrame, table: DataFrame, words: bool) -> DataFrame:
-    """(chunk, words, part, value): for each blob of keys asked for, the values that the table (part, a, b, value) has for them, NaN where none."""
+def _answered(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(chunk, part, value): for each blob of keys asked for, the 64 bits of the values that the table (part, a, b, value) has for them, 0 where none."""
 
     def answer(questions: pa.Table, rows: pa.Table) -> pa.Table:
         known = Known()
         known.add(*(rows[c].to_numpy().view(np.uint64) for c in ("a", "b")), np.arange(rows.num_rows))
-        values = np.append(rows["value"].to_numpy(), np.nan)
+        values = np.append(rows["value"].to_numpy().view(np.uint64), np.uint64(0))
         out = []
-        for blob in questions["keys"]:
-            keys = np.frombuffer(blob.as_buffer(), np.uint64)
-            keys = keys.reshape(2, -1) if words else np.stack([keys, np.zeros_like(keys)])
-            out.append(values[known.find(*keys)].tobytes())
-        return pa.table({"chunk": questions["chunk"], "words": pa.array([words] * len(out), pa.bool_()), "part": questions["part"], "value": pa.array(out, pa.binary())})
+        for first, second in zip(questions["first"], questions["second"], strict=True):
+            first = _unpacked_up(first)
+            out.append(_packed(values[known.find(first, _unpacked(second) if second.is_valid else np.zeros_like(first))]))
+        return pa.table({"chunk": questions["chunk"], "part": questions["part"], "value": pa.array(out, pa.binary())})
 
-    own = asked.filter(F.col("words") == words).select("chunk", "part", "keys")
-    return own.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "chunk long, words boolean, part int, value binary")
+    return asked.select("chunk", "part", "first", "second").groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answer, "chunk long, part int, value binary")
 
 
 def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str, text_col: str = "text") -> DataFrame:
@@ -457,7 +484,7 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
                     key.append(run[maybe[~found]])
                 place, key = np.concatenate(place), np.concatenate(key)
                 order = np.argsort(place, kind="stable")
-                docs.append(([c.slice(i, j - i) for c in batch.columns[:-1]], np.diff(first), np.bincount(text_of[known], minlength=j - i), base, gain, np.bincount(text_of[~known], minlength=j - i), np.bincount(place, minlength=j - i)))
+                docs.append(([c.slice(i, j - i) for c in batch.columns[:-1]], np.diff(first), np.bincount(text_of[known], minlength=j - i), base, gain, text_of[~known], place[order]))
                 words.append(keys[:, ~known])
                 runs.append(key[order])
                 held += len(key) + int((~known).sum())
@@ -467,65 +494,79 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, store: Store, *keep: str
         if docs:
             yield from flushed(chunk, docs, words, runs)
 
-    names = ["chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of", "words", "part", "keys"]
-    schema = ", ".join(["chunk long", *(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_common long, logs double, gain double, words_of array<int>, runs_of array<int>, words boolean, part int, keys binary"])
+    names = ["chunk", "at", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of", "part", "first", "second", "kind"]
+    schema = ", ".join(["chunk long, at long", *(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_common long, logs double, gain double, words_of binary, runs_of binary, part int, first binary, second binary, kind string"])
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def flushed(chunk: int, docs: list, words: list, runs: list):
+        def batch(kind: str, at: np.ndarray, columns=None, **more: pa.Array) -> pa.RecordBatch:
+            columns = columns or [pa.nulls(len(at), c.type) for c in docs[0][0]]
+            rest = [more.get(name, pa.nulls(len(at), t)) for name, t in zip(names[2 + len(kept) : -1], types, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), pa.array(at), *columns, *rest, pa.array([kind] * len(at), pa.string())], names)
+
         asked = np.concatenate(words, axis=1)
         at, own = grouped(*asked)
-        h = _hashes(asked[:, at])
-        order = np.argsort(h)  # questions go by range
+        range_of = (_hashes(asked[:, at]) >> np.uint64(56 - bits)).astype(np.int32)
+        order = np.lexsort((asked[0, at], range_of))  # questions go by range
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
-        asked, words_of, ranges = asked[:, at[order]], number[own], h[order] >> np.uint64(56 - bits)
+        asked, words_of, ranges = asked[:, at[order]], number[own], range_of[order]
         keys, runs_of = np.unique(np.concatenate(runs), return_inverse=True)
-        w = r = 0
-        for columns, n, common, logs, gain, nw, nr in docs:
-            lists = []
-            for of, at_, count in ((words_of, w, nw), (runs_of, r, nr)):
-                ends = np.concatenate([[0], np.cumsum(count)])
-                lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(of[at_ : at_ + ends[-1]].astype(np.int32))))
-            w, r, k = w + int(nw.sum()), r + int(nr.sum()), len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *columns, pa.array(n), pa.array(common), pa.array(logs), pa.array(gain), *lists, pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        for is_word, part, rows_ in ((True, ranges, asked), (False, keys >> np.uint64(56 - bits), keys[None])):
+        row = w = r = 0
+        for columns, n, common, logs, gain, word_in, run_in in docs:
+            # of the texts' questions, the text and the question's number: in order, as sums need no other
+            lists = [_packed_up(np.sort(text.astype(np.uint64) << np.uint64(32) | of.astype(np.uint64))) for text, of in ((word_in, words_of[w : w + len(word_in)]), (run_in, runs_of[r : r + len(run_in)]))]
+            yield batch("texts", row + np.arange(len(n)), columns, n_tokens=pa.array(n), n_common=pa.array(common), logs=pa.array(logs), gain=pa.array(gain))
+            yield batch("texts", np.array([row]), words_of=pa.array(lists[:1], pa.binary()), runs_of=pa.array(lists[1:], pa.binary()))
+            row, w, r = row + len(n), w + len(word_in), r + len(run_in)
+        for kind, part, first, second in (("words", ranges, *asked), ("runs", (keys >> np.uint64(56 - bits)).astype(np.int32), keys, None)):
             new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            blobs = [rows_[:, a:b].tobytes() for a, b in zip(new, np.append(new, len(part))[1:], strict=True)]
-            k = len(blobs)
-            empty = [pa.nulls(k, c.type) for c in docs[0][0]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *empty, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int32())), pa.array([is_word] * k, pa.bool_()), pa.array(part[new].astype(np.int32)), pa.array(blobs, pa.binary())], names)
+            spans = list(zip(new, np.append(new, len(part))[1:], strict=True))
+            blobs = {"first": [_packed_up(first[a:b]) for a, b in spans], "second": [None if second is None else _packed(second[a:b].copy()) for a, b in spans]}
+            yield batch(kind, np.zeros(len(new), np.int64), part=pa.array(part[new]), **{k: pa.array(x, pa.binary()) for k, x in blobs.items()})
 
-    # questions go as soon as they are answered
-    table = store.cut(over_batches(rows, measured, schema).withColumn("asked", F.col("part").isNotNull()), "measured", "asked")
+    table = store.cut(over_batches(rows, measured, schema), "measured", "kind", clean=True)
     bound = MIN_WORD * tree.total
     range_ = F.shiftrightunsigned("key", 56 - bits).cast("int").alias("part")
-    rare = counts.filter(F.col("n") < bound).select(range_, "a", "b", F.log10(F.col("n") + ADD).alias("value"))
-    asked = table.filter("asked")
-    answers = _answered(asked, rare, True)
+    tables = {"words": counts.filter(F.col("n") < bound).select(range_, "a", "b", F.col("n").alias("value"))}
     if tree.nodes is not None:
-        nodes = tree.nodes.filter(F.col("n") < bound).select(range_, F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), (F.col("entry") + F.col("alpha")).alias("value"))
-        answers = answers.unionByName(_answered(asked, nodes, False))
-    answers = store.cut(answers, "answers")
-    store.drop_part(table, "asked=true")
+        tables["runs"] = tree.nodes.filter(F.col("n") < bound).select(range_, F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), (F.col("entry") + F.col("alpha")).alias("value"))
+    answers = []
+    for kind, known in tables.items():  # one kind after the other: questions go as soon as they are answered
+        answers.append(store.cut(_answered(table.filter(F.col("kind") == kind), known), "answers", clean=True).withColumn("kind", F.lit(kind)))
+        store.drop_part(table, f"kind={kind}")
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.unionByName(more)
 
     log_add, log_total = float(np.log10(ADD)), float(np.log10(tree.total + ADD * (tree.kinds + 1)))
     total = tree.total
 
     def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by([("part", "ascending")])
-        value = {w: np.concatenate([np.zeros(0), *(np.frombuffer(v.as_buffer(), float) for v, own in zip(found["value"], found["words"], strict=True) if own.as_py() == w)]) for w in (True, False)}
-        each = []
-        for column, w in (("words_of", True), ("runs_of", False)):
-            lists = docs[column].combine_chunks()
-            ends = np.asarray(lists.offsets).astype(np.int64)
-            own = value[w][np.asarray(lists.values)[ends[0] : ends[-1]]] if ends[-1] > ends[0] else np.zeros(0)
-            there = ~np.isnan(own)
-            each.append((sums(np.where(there, own, 0.0), ends - ends[0]), sums(there.astype(np.int64), ends - ends[0])))
+        found, docs = found.sort_by([("part", "ascending")]), docs.sort_by([("at", "ascending")])
+        lists = docs.filter(pc.is_valid(docs["words_of"]))
+        docs = docs.filter(pc.is_valid(docs["n_tokens"]))
+
+        def answered(kind: str) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *(_unpacked(v) for v in found.filter(pc.equal(found["kind"], kind))["value"])])
+
+        def places(column: str) -> tuple[np.ndarray, np.ndarray]:
+            """The text of each of the texts' questions, and the question's number."""
+            each = [_unpacked_up(x) + (np.uint64(row) << np.uint64(32)) for row, x in zip(lists["at"].to_pylist(), lists[column], strict=True)]
+            each = np.concatenate([np.zeros(0, np.uint64), *each])
+            return (each >> np.uint64(32)).astype(np.int64), (each & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
         n = docs["n_tokens"].to_numpy()
-        known = docs["n_common"].to_numpy() + each[0][1]
-        base = docs["logs"].to_numpy() + each[0][0] + (n - known) * log_add - n * log_total
-        out = [*(docs[k] for k in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(base + docs["gain"].to_numpy() + each[1][0])]
+        (text, word), seen = places("words_of"), answered("words")
+        text, word = text[seen[word] > 0], word[seen[word] > 0]
+        known = docs["n_common"].to_numpy() + np.bincount(text, minlength=len(n))
+        logs = docs["logs"].to_numpy() + np.bincount(text, np.log10(seen + ADD)[word], len(n))
+        (text, run), values = places("runs_of"), answered("runs").view(float)
+        gain = docs["gain"].to_numpy() + (np.bincount(text, values[run], len(n)) if len(values) else 0.0)
+        base = logs + (n - known) * log_add - n * log_total
+        out = [*(docs[k] for k in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(base + gain)]
         return pa.table(out, names=[*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    docs = table.filter("NOT asked").select("chunk", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of")
-    out = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))
+    docs = table.filter("kind = 'texts'").select("chunk", "at", *kept, "n_tokens", "n_common", "logs", "gain", "words_of", "runs_of")
+    out = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))
     return out.toDF(*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")

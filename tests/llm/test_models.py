@@ -2,14 +2,17 @@
 
 import collections
 import math
+import pathlib
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomquery.llm import langid, quality, registry, suffix_lm
-from loomquery.llm._store import Store
+from loomquery.llm._store import CLEANUP, Store
 from tests.llm.samples import frame, prose, texts, words
 
 FOLDER = "/root/testdata/sf0.01"
@@ -163,3 +166,45 @@ def test_filters_hold_every_ngram(spark):
     gram, _ = langid.grams(data, offsets)
     at = langid._slots(gram, filters.masks.shape[1], filters.probes)
     assert all(((filters.masks[0][a] >> np.uint64(filters.langs.index("en"))) & np.uint64(1)).all() for a in at)
+
+
+def test_questions_and_answers_take_less_than_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_lm, "MIN_WORD", 1e-4)  # most nodes and words are asked for, as in a large corpus
+    cut, written = Store.cut, []
+
+    def sized(self, df, name, *partition_by, **more):
+        table = cut(self, df, name, *partition_by, **more)
+        if name in ("measured", "answers"):
+            written.extend(x.stat().st_size for x in pathlib.Path(table._loomquery_path.removeprefix("file:")).rglob("*.parquet"))
+        return table
+
+    monkeypatch.setattr(Store, "cut", sized)
+    assert registry.QUERIES["op5_suffix_lm"](spark, FOLDER).count() == 1000
+    assert 0 < sum(written) < 0.9 * pathlib.Path(f"{FOLDER}/documents.parquet").stat().st_size  # 1.30 as plain lists and keys
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    ascending = np.sort(rng.integers(0, 1 << 64, 5000, np.uint64))
+    for values in (ascending, ascending[:0], ascending[:1], np.array([0, 0, 2**64 - 1], np.uint64)):
+        blobs = pa.array([suffix_lm._packed(values), suffix_lm._packed_up(values)], pa.binary())
+        assert (suffix_lm._unpacked(blobs[0]) == values).all() and (suffix_lm._unpacked_up(blobs[1]) == values).all()
+        assert len(suffix_lm._unpacked(blobs[0])) == len(suffix_lm._unpacked_up(blobs[1])) == len(values)
+    for values in (rng.normal(size=100), np.array([1, -7, 2**31 - 1], np.int32)):
+        assert (suffix_lm._unpacked(pa.scalar(suffix_lm._packed(values)), values.dtype.type) == values).all()
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {str(x) for d in dirs for x in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+    store, before = Store(spark, "test"), files()
+    df = frame(spark, [(i, prose(i, 80)) for i in range(100)], more=False)
+    table = store.cut(df.groupBy("text").count(), "counts", clean=True)
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 100
+    assert spark.conf.get(CLEANUP) == "false"
