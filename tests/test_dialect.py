@@ -250,6 +250,41 @@ def test_not_in_sends_no_whole_side(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_not_in_compares_one_row_a_key(spark):
+    """Joins of NOT IN have no condition beyond their keys: with one, a column that is the same in all rows is compared row by row."""
+    s = Session(spark, "/root/testdata/sf0.001")
+    for text in ("(l_orderkey, l_linenumber) NOT IN (SELECT o_orderkey, 1 FROM orders)", "(l_orderkey, l_linenumber, l_suppkey) NOT IN (SELECT o_orderkey, 1, o_custkey FROM orders)"):
+        plan, joins = s.sql(f"SELECT l_orderkey FROM lineitem WHERE {text}")._jdf.queryExecution().sparkPlan(), []
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                joins.append(node)
+        assert joins and all(j.nodeName() != "BroadcastNestedLoopJoin" and j.condition().isEmpty() for j in joins)
+
+
+def test_not_in_with_nulls_by_brute_force(spark):
+    import itertools
+    import random
+
+    random.seed(5)
+    s = Session(spark)
+    for width, drawn, nulls in ((1, 2, ()), (2, 0, ()), (2, 2, ()), (2, 2, (0,)), (2, 3, (0, 1)), (3, 3, ()), (3, 3, (0, 2))):
+        left = list(itertools.product((1, 2, None), repeat=width)) * 2
+        right = [tuple(None if i in nulls and random.random() < 0.6 else random.choice((1, 2, 3)) for i in range(width)) for _ in range(drawn)] * 2
+        kinds = ", ".join(f"c{i} int" for i in range(width))
+        s.register("l", spark.createDataFrame(left, kinds))
+        s.register("r", spark.createDataFrame(right, kinds))
+        for fixed in (False, True)[: width if width < 3 else 1]:  # a literal in the query's last column
+            against = [(*r[:-1], 1) for r in right] if fixed else right
+            names = [f"c{i}" for i in range(width)]
+            row = f"({', '.join(names)})" if width > 1 else names[0]
+            got = s.sql(f"SELECT {', '.join(names)} FROM l WHERE {row} NOT IN (SELECT {', '.join([*names[:-1], '1'] if fixed else names)} FROM r)")
+            want = [x for x in left if all(any(a is not None and b is not None and a != b for a, b in zip(x, r, strict=True)) for r in against)]
+            assert sorted(rows(got), key=str) == sorted(want, key=str), (width, right, fixed)
+
+
 def test_buckets_are_pushed_and_hidden(spark):
     s = Session(spark, "/root/testdata/sf0.001")
     s.sql("CREATE TABLE c (id INT PRIMARY KEY, n INT) DISTRIBUTED BY (id)")
